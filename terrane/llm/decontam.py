@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .scratch import only_columns
+from .scratch import fresh, only_columns
 
 WINDOW = 13
 MIN_COVERAGE = 0.05
@@ -185,16 +185,17 @@ def _merge(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 _HITS = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
-_MADE = "_n_words long, _hits array<struct<begin:long,end:long>>, _items array<string>"
+MADE = ("n_words", "hits", "items")
 
 
-def _scanner(model, text: str, window: int):
+def _scanner(model, text: str, window: int, made_names: tuple[str, str, str]):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n_words_name, hits_name, items_name = made_names
         automaton, vocabulary, pairs, shortest, names = pickle.loads(model.value)
-        for batch in batches:
+        for batch in W.pieces(batches, text):
             words, at = W.fingerprints(batch.column(text), W.ALNUM)
-            hits: list[list] = [[(x["begin"], x["end"]) for x in row or []] for row in batch.column("_hits").to_pylist()]
-            items: list[set] = [set(row or []) for row in batch.column("_items").to_pylist()]
+            hits: list[list] = [[(x["begin"], x["end"]) for x in row or []] for row in batch.column(hits_name).to_pylist()]
+            items: list[set] = [set(row or []) for row in batch.column(items_name).to_pylist()]
             if len(words):
                 for row, first, ids in stretches(words, at, vocabulary, pairs, shortest):
                     for b, e, which in automaton.hits(ids.tolist(), window):
@@ -204,35 +205,35 @@ def _scanner(model, text: str, window: int):
                             hits[row].append((first + b, first + e))
                         items[row].update(names[i] for i in which if names[i] is not None)
             merged = [[{"begin": b, "end": e} for b, e in _merge(row)] for row in hits]
-            made = {"_n_words": pa.array(np.diff(at)), "_hits": pa.array(merged, _HITS), "_items": pa.array([sorted(s) for s in items], pa.list_(pa.string()))}
+            made = {n_words_name: pa.array(np.diff(at)), hits_name: pa.array(merged, _HITS), items_name: pa.array([sorted(s) for s in items], pa.list_(pa.string()))}
             yield pa.RecordBatch.from_arrays([made.get(n, batch.column(n)) for n in batch.schema.names], names=batch.schema.names)
 
     return scan
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS, names: tuple[str, str, str] = MADE) -> DataFrame:
     """``docs`` with n_words, hits (merged word spans ``[begin, end)``) and items (names of items with occurring windows)."""
     spark = docs.sparkSession
     items = only_columns(benchmark, item_id, item_text).toDF("item_id", "item_text")
     # A word takes at least two characters with its separator, so this bounds the words without tokenising.
     n_shards = 1 + (items.agg(F.sum(F.length("item_text"))).first()[0] or 0) // (2 * shard_words)
-    out = docs.withColumns({"_n_words": F.lit(None).cast("long"), "_hits": F.lit(None).cast("array<struct<begin:long,end:long>>"), "_items": F.lit(None).cast("array<string>")})
+    out = docs.withColumns(dict(zip(names, (F.lit(None).cast("long"), F.lit(None).cast("array<struct<begin:long,end:long>>"), F.lit(None).cast("array<string>")), strict=True)))
     schema = out.schema
     scanned = False
     for shard in range(n_shards):
         part = items if n_shards == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_shards)) == shard)
         model = build([tuple(r) for r in part.collect()], window)
         if model is not None:
-            out = out.mapInArrow(_scanner(spark.sparkContext.broadcast(model), text, window), schema)
+            out = out.mapInArrow(_scanner(spark.sparkContext.broadcast(model), text, window, names), schema)
             scanned = True
     if not scanned:
         nothing = spark.sparkContext.broadcast(pickle.dumps((SuffixAutomaton(), np.zeros(1, np.uint64), np.zeros(0, np.uint64), window, [])))
-        out = out.mapInArrow(_scanner(nothing, text, window), schema)
-    return out.withColumnsRenamed({"_n_words": "n_words", "_hits": "hits", "_items": "items"})
+        out = out.mapInArrow(_scanner(nothing, text, window, names), schema)
+    return out
 
 
-def n_hit() -> Column:
-    return F.aggregate("hits", F.lit(0).cast("long"), lambda n, h: n + h["end"] - h["begin"])
+def n_hit(hits: str = "hits") -> Column:
+    return F.aggregate(hits, F.lit(0).cast("long"), lambda n, h: n + h["end"] - h["begin"])
 
 
 def contaminated(n_hit: Column, n_words: Column, min_coverage: float = MIN_COVERAGE) -> Column:
@@ -256,17 +257,18 @@ def report(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
 
 def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", min_coverage: float = MIN_COVERAGE, **more) -> DataFrame:
     """The documents that aren't contaminated, with their columns as they were."""
-    columns = docs.columns
-    return scan(docs, benchmark, text, **more).where(~contaminated(n_hit(), F.col("n_words"), min_coverage)).select(*columns)
+    n_words, hits, items = names = tuple(fresh(docs, *MADE))
+    scanned = scan(docs, benchmark, text, names=names, **more)
+    return scanned.where(~contaminated(n_hit(hits), F.col(n_words), min_coverage)).drop(*names)
 
 
 def cut_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", min_words: int = WINDOW, min_coverage: float = MIN_COVERAGE, **more) -> DataFrame:
     """Documents below the coverage limit, without the hit spans of ``min_words`` words or more; heavier ones go."""
-    columns = docs.columns
-    cut = F.udf(_cut, "string")
-    kept = scan(docs, benchmark, text, **more).where(~contaminated(n_hit(), F.col("n_words"), min_coverage))
-    long = F.filter("hits", lambda h: h["end"] - h["begin"] >= min_words)
-    return kept.withColumn(text, F.when(F.size(long) > 0, cut(text, long)).otherwise(F.col(text))).select(*columns)
+    n_words, hits, items = names = tuple(fresh(docs, *MADE))
+    scanned = scan(docs, benchmark, text, names=names, **more)
+    kept = scanned.where(~contaminated(n_hit(hits), F.col(n_words), min_coverage))
+    long = F.filter(hits, lambda h: h["end"] - h["begin"] >= min_words)
+    return kept.withColumn(text, F.when(F.size(long) > 0, F.udf(_cut, "string")(text, long)).otherwise(F.col(text))).drop(*names)
 
 
 def _cut(text: str, hits: list) -> str:

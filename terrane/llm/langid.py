@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .scratch import materialise, only_columns, small
+from .scratch import fresh, materialise, only_columns, small
 
 SAMPLE_ROWS = 4000
 BUCKETS = 1 << 14
@@ -73,7 +73,7 @@ def trigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _counter(index: dict[str, int]):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((len(index), BUCKETS), np.int64)
-        for batch in batches:
+        for batch in W.pieces(batches, 0):
             bucket, at = trigrams(batch.column(0))
             of_row = np.array([index[x] for x in batch.column(1).to_pylist()], np.int64)
             np.add.at(counts, (np.repeat(of_row, np.diff(at)), bucket), 1)
@@ -121,7 +121,7 @@ def fit(labelled: DataFrame, text: str, lang: str, sample_rows: int = SAMPLE_ROW
 def _texts(model) -> Column:
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        for batch in batches:
+        for batch in W.pieces(batches, "text"):
             scores, n = m.scores(batch.column("text"))
             top = scores.argmax(axis=1)
             names = [m.languages[i] if i < len(m.languages) and k else None for i, k in zip(top.tolist(), n.tolist(), strict=True)]
@@ -130,18 +130,18 @@ def _texts(model) -> Column:
     return best
 
 
-def _fuser(model, declared: dict[str, list[float]], n_keep: int):
+def _fuser(model, declared: dict[str, list[float]], n_keep: int, made: tuple[str, str]):
     def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         none = np.full(len(m.languages), -np.log(max(1, len(m.languages))))
         other = {k: np.array(v) for k, v in declared.items()}
-        for batch in batches:
-            scores, n = m.scores(batch.column("_text"))
+        for batch in W.pieces(batches, 0):
+            scores, n = m.scores(batch.column(0))
             known = scores[:, :-1].copy()
             if len(m.languages):
-                priors = batch.column("_prior").to_pylist()
+                priors = batch.column(1).to_pylist()
                 known += np.array([none if p is None else p for p in priors]).reshape(known.shape)
-                known += np.array([other.get(x, none) for x in batch.column("_declared").to_pylist()]).reshape(known.shape)
+                known += np.array([other.get(x, none) for x in batch.column(2).to_pylist()]).reshape(known.shape)
                 top = known.argmax(axis=1)
                 posterior = 1 / np.exp(known - known.max(axis=1, keepdims=True)).sum(axis=1)
                 rows = np.arange(len(top))
@@ -149,8 +149,8 @@ def _fuser(model, declared: dict[str, list[float]], n_keep: int):
                 names = [m.languages[i] if ok else UNKNOWN for i, ok in zip(top.tolist(), fine.tolist(), strict=True)]
             else:
                 posterior, names = np.zeros(len(n)), [UNKNOWN] * len(n)
-            kept = [batch.column(i) for i in range(n_keep)]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(posterior)], names=[*batch.schema.names[:n_keep], "detected", "posterior"])
+            kept = [batch.column(i) for i in range(3, 3 + n_keep)]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(posterior)], names=[*batch.schema.names[3:], *made])
 
     return fuse
 
@@ -170,10 +170,14 @@ def _all():
     return Window.partitionBy(F.lit(1))
 
 
-def identify(rows: DataFrame, model: Model, text: Column, host: Column, declared: Column) -> DataFrame:
-    """``rows`` with detected (a language or "und") and posterior. ``text``, ``host``, ``declared``: columns of ``rows``."""
+def identify(rows: DataFrame, model: Model, text: Column, host: Column, declared: Column, names: tuple[str, str] = ("detected", "posterior")) -> DataFrame:
+    """``rows`` with detected (a language or "und") and posterior. ``text``, ``host``, ``declared``: columns of ``rows``.
+
+    Columns of ``rows`` that have these ``names`` are replaced.
+    """
     spark = rows.sparkSession
     languages = model.languages
+    at, prior = fresh(rows, "_site", "_prior")
     shipped = spark.sparkContext.broadcast(model)
     name = F.lower(F.trim(host))
     site = F.coalesce(F.concat(F.lit("="), name), F.lit(""))
@@ -198,16 +202,16 @@ def identify(rows: DataFrame, model: Model, text: Column, host: Column, declared
         on_site = [F.log((F.col(f"c{i}") + PRIOR_ROWS * in_domain[i]) / (F.col("all") + PRIOR_ROWS)) for i in range(len(languages))]
         with_domain = by_site.join(by_domain, "domain").withColumn("host_prior", F.array(*on_site))
         by_suffix = _log_likelihoods(counts, "suffix", languages)
-        sites = with_domain.join(by_suffix, "suffix").select(F.col("site").alias("_site"), F.zip_with("host_prior", "evidence", lambda a, b: a + b).alias("_prior"))
+        sites = with_domain.join(by_suffix, "suffix").select(F.col("site").alias(at), F.zip_with("host_prior", "evidence", lambda a, b: a + b).alias(prior))
         sites = materialise(sites, "hosts")
-        out = rows.withColumn("_site", site).join(F.broadcast(sites) if small(sites, BROADCAST_HOSTS) else sites, "_site", "left")
+        out = rows.withColumn(at, site).join(F.broadcast(sites) if small(sites, BROADCAST_HOSTS) else sites, at, "left")
     else:
         says_table = {}
-        out = out.withColumn("_prior", F.lit(None).cast("array<double>"))
-    kept = [F.col(f"`{c}`") for c in rows.columns]
-    ready = out.select(*kept, text.alias("_text"), "_prior", says.alias("_declared"))
-    schema = rows.limit(0).withColumns({"detected": F.lit("").cast("string"), "posterior": F.lit(0.0)}).schema
-    return ready.mapInArrow(_fuser(shipped, says_table, len(rows.columns)), schema)
+        out = out.withColumn(prior, F.lit(None).cast("array<double>"))
+    kept = [c for c in rows.columns if c.lower() not in names]
+    ready = out.select(text.alias("_text"), F.col(prior).alias("_prior"), says.alias("_declared"), *[F.col(f"`{c}`") for c in kept])
+    schema = rows.select(*[F.col(f"`{c}`") for c in kept]).withColumns({names[0]: F.lit("").cast("string"), names[1]: F.lit(0.0)}).schema
+    return ready.mapInArrow(_fuser(shipped, says_table, len(kept), names), schema)
 
 
 _SKIPPED = r"(?is)<(script|style)\b.*?(?:</\1\s*>|\z)|<!--.*?(?:-->|\z)|<[^>]*(?:>|\z)"
@@ -230,6 +234,6 @@ def of_pages(pages: DataFrame, labelled: DataFrame, page_id: str = "page_id", ur
 
 def keep_known(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The rows of ``docs`` that aren't rejected; ``lang`` is what they declare and ``source`` their host."""
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    found = identify(docs, fit(docs, text, lang), F.col(f"`{text}`"), F.col(f"`{source}`"), F.col(f"`{lang}`"))
-    return found.where(F.col("detected") != UNKNOWN).select(*columns)
+    names = tuple(fresh(docs, "detected", "posterior"))
+    found = identify(docs, fit(docs, text, lang), F.col(f"`{text}`"), F.col(f"`{source}`"), F.col(f"`{lang}`"), names)
+    return found.where(F.col(names[0]) != UNKNOWN).drop(*names)

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialise, only_columns
+from .scratch import fresh, materialise, only_columns
 
 RATIO = 0.02
 MIN_PAGES = 5
@@ -45,8 +45,8 @@ def boilerplate(pages: DataFrame, host: str, text: str, ratio: float, min_pages:
     return frequent.groupBy("_site").agg(F.collect_set("print").alias("_gone"))
 
 
-def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """``pages`` with boilerplate lines taken out of ``text``, and n_lines and n_dropped."""
+def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, names: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """``pages`` with boilerplate lines taken out of ``text``, and n_lines and n_dropped instead of columns of these names."""
     gone = materialise(boilerplate(pages, host, text, ratio, min_pages), "boilerplate")
     lines = gone.agg(F.sum(F.size("_gone"))).first()[0] or 0
     joined = pages.withColumn("_site", _site(host)).join(F.broadcast(gone) if lines <= BROADCAST_LINES else gone, "_site", "left")
@@ -54,9 +54,9 @@ def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text",
     kept = F.when(F.col("_gone").isNull(), every).otherwise(F.filter(every, lambda line: ~F.array_contains("_gone", F.xxhash64(F.trim(line)))))
     out = joined.withColumn("_kept", kept)
     left = F.when(F.col(f"`{text}`").isNull(), 0).otherwise(F.size("_kept")).cast("long")
-    columns = [F.col(f"`{c}`") if c != text else F.when(F.col("_gone").isNull(), F.col(f"`{text}`")).otherwise(F.array_join("_kept", "\n")).alias(text) for c in pages.columns]
+    columns = [F.col(f"`{c}`") if c != text else F.when(F.col("_gone").isNull(), F.col(f"`{text}`")).otherwise(F.array_join("_kept", "\n")).alias(text) for c in pages.columns if c.lower() not in names]
     n = F.when(F.col(f"`{text}`").isNull(), 0).otherwise(F.size(every)).cast("long")
-    return out.select(*columns, n.alias("n_lines"), (n - left).alias("n_dropped"))
+    return out.select(*columns, n.alias(names[0]), (n - left).alias(names[1]))
 
 
 def report(docs: DataFrame, doc_id: str = "doc_id", host: str = "source", text: str = "text", **more) -> DataFrame:
@@ -79,3 +79,11 @@ SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_drop
        length(left_over.text) AS n_chars, sha256(left_over.text) AS text_sha256
 FROM page LEFT JOIN left_over USING (r)
 """
+
+
+def clean_lines(docs: DataFrame, text: str = "text", n_chars: str = "n_chars", **more) -> DataFrame:
+    """``docs`` without boilerplate lines; ``n_chars`` follows where a line went."""
+    names = tuple(fresh(docs, "n_lines", "n_dropped"))
+    out = drop_boilerplate(docs, text=text, names=names, **more)
+    length = F.when(F.col(names[1]) > 0, F.length(F.col(f"`{text}`")).cast("long")).otherwise(F.col(f"`{n_chars}`"))
+    return out.withColumn(n_chars, length).drop(*names).select(*[F.col(f"`{c}`") for c in docs.columns])

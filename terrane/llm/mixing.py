@@ -24,12 +24,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as Wd
 from pyspark.sql import functions as F
 
-from .scratch import materialise, only_columns
+from .scratch import materialise, only_columns, small
 
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
 MOST_PASSES = 2
 BUCKET_ROWS = 2000
+BROADCAST_ROWS = 500_000
 SEED = "mix"
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -38,6 +39,10 @@ def size(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _digest(doc_id: Column, text: Column) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(SEED), F.coalesce(doc_id.cast("string"), F.lit("")), F.coalesce(text, F.lit(""))))
+
+
 def targets(sources: DataFrame) -> DataFrame:
     """``sources`` (source, source_size, rows) with each one's target."""
     order = Wd.orderBy(F.col("source").asc_nulls_last())
@@ -49,14 +54,14 @@ def targets(sources: DataFrame) -> DataFrame:
     everything = Wd.rowsBetween(Wd.unboundedPreceding, Wd.unboundedFollowing)
     budget = F.sum("source_size").over(everything.partitionBy(F.lit(1))) * BUDGET
     s = s.withColumn("level", (budget - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(rest))
-    s = s.withColumn("level", F.min(F.when(F.col("level") * F.col("weight") < F.col("cap"), F.col("level"))).over(everything.partitionBy(F.lit(1))))
+    s = s.withColumn("level", F.max(F.when(F.col("level") * F.col("weight") < F.col("cap"), F.col("level"))).over(everything.partitionBy(F.lit(1))))
     target = F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("level") * F.col("weight")))
     return s.select("source", "source_size", "rows", target.alias("target"))
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """Per document: doc_id, size, source_size, target, taken, finish (of its first pass; null if never reached)."""
-    digest = F.md5(F.concat_ws(":", F.lit(SEED), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit(""))))
+    digest = _digest(F.col(doc_id), F.col(text))
     narrow = only_columns(docs, doc_id, source, text).select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size(F.col(text)).alias("size"), digest.alias("digest"))
     narrow = materialise(narrow, "sizes")
     sources = targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")))
@@ -93,10 +98,22 @@ s AS (SELECT source, sum(size) AS source_size, 2.0::DOUBLE * sum(size) AS cap,
       [3.0::DOUBLE, 1.0, 2.0][1 + (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3] AS weight FROM d GROUP BY source),
 l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, encode(source) NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
       / sum(weight) OVER (ORDER BY cap / weight, encode(source) NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s),
-t AS (SELECT source, source_size, cap, weight, min(level) FILTER (level * weight < cap) OVER () AS level FROM l),
+t AS (SELECT source, source_size, cap, weight, max(level) FILTER (level * weight < cap) OVER () AS level FROM l),
 g AS (SELECT source, source_size, CASE WHEN level IS NULL THEN cap ELSE least(cap, level * weight) END AS target FROM t),
 p AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY digest, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier FROM d)
 SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, target,
        CAST(greatest(0, least(size, floor(target) - earlier)) + greatest(0, least(size, floor(target) - earlier - source_size)) AS BIGINT) AS taken
 FROM p JOIN g ON p.source IS NOT DISTINCT FROM g.source
 """
+
+def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """The documents that the mix takes, in its order, with their columns and size, taken and finish instead of columns of these names.
+
+    Rows meet their place by digest; rows of equal doc_id and text count once here.
+    """
+    placed = materialise(mix(docs, doc_id, source, text).where("taken > 0"), "mix")
+    placed = placed.groupBy(F.col("digest").alias("_digest"), F.col("source").alias("_source")).agg(F.max("size").alias("size"), F.max("taken").alias("taken"), F.min("finish").alias("finish"))
+    placed = F.broadcast(placed) if small(placed, BROADCAST_ROWS) else placed
+    keyed = docs.drop("size", "taken", "finish").withColumn("_key", _digest(F.col(f"`{doc_id}`"), F.col(f"`{text}`")))
+    joined = keyed.join(placed, (F.col("_key") == F.col("_digest")) & F.col(f"`{source}`").eqNullSafe(F.col("_source")))
+    return joined.drop("_key", "_digest", "_source").orderBy("finish")

@@ -10,10 +10,15 @@ probability below 0.0625^4 = 1.6e-5, and rapidly less above; ``TREES`` sets the
 The root and the first levels always hold too much, so three levels are taken at once; below that
 
 * every node links its members to its smallest one (a star, linear in the node);
-* nodes of up to ``SMALL_NODE`` members in which more than one component is left are compared exhaustively;
+* nodes of up to ``SMALL_NODE`` members in which more than one component is left are compared exhaustively across
+  components;
 * larger ones with more than one component branch again, to ``MAX_DEPTH`` levels, and are then compared across
   components without any cap.
 
+Before that, each member of such a node is bounded by the number of its shingles that stand in any other member of
+one: no pair has more in common than the smaller of the two bounds. In a group of loose copies most pairs are ruled
+out by these two numbers, and members that can't link to anything leave their nodes.
+
 Every link is confirmed on the full sets (100 * intersection >= 80 * union). Only components matter to the result, so
 pairs that are already connected aren't confirmed again, which keeps large groups of near copies linear.
 
@@ -47,7 +52,7 @@ SIMILARITY_PERCENT = 80
 TREES = 4
 LEVELS = 3
 COORDINATES = 64
-SMALL_NODE = 16
+SMALL_NODE = 1024
 MAX_DEPTH = 10
 BROADCAST_ROWS = 500_000
 
@@ -86,7 +91,7 @@ def minwise(shingles: np.ndarray) -> np.ndarray:
 
 def _embedder(k: int):
     def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in W.pieces(batches, 1):
             n, prints, signatures = [], [], []
             for s in shingle_sets(batch.column(1), k):
                 n.append(len(s))
@@ -107,13 +112,11 @@ def embed(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
 
 def _sets_of(k: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                all_sets = list(shingle_sets(part.column(1), k))
-                flat = np.concatenate(all_sets).view(np.int64)
-                offsets = np.cumsum([0] + [len(s) for s in all_sets], dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["id", "members"])
+        for part in W.pieces(batches, 1):
+            all_sets = list(shingle_sets(part.column(1), k))
+            flat = np.concatenate(all_sets).view(np.int64)
+            offsets = np.cumsum([0] + [len(s) for s in all_sets], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["id", "members"])
 
     return sets
 
@@ -145,7 +148,7 @@ class _Join:
     def __init__(self, docs: DataFrame, classes: DataFrame, doc_id: str, text: str, k: int, percent: int, once: bool) -> None:
         self.docs, self.classes, self.doc_id, self.text, self.k, self.percent, self.once = docs, classes, doc_id, text, k, percent, once
         self.spark = docs.sparkSession
-        self.sizes = classes.select("id", "n")
+        self.bounds = classes.select("id", "n", F.col("n").alias("shared"))
         self.labels: DataFrame | None = None
         self.links: list[DataFrame] = []
 
@@ -156,17 +159,35 @@ class _Join:
         hit = both * 100 >= (F.size("in_a") + F.size("in_b") - both) * self.percent
         return pairs.join(left, "a").join(right, "b").where(hit).select("a", "b")
 
-    def sets(self, pairs: DataFrame) -> DataFrame:
-        ids = materialise(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct(), "candidates")
+    def sets(self, grouped: DataFrame) -> DataFrame:
+        ids = materialise(grouped.select("id").distinct(), "candidates")
         narrow = only_columns(self.docs, self.doc_id, self.text).select(F.col(self.doc_id).cast("long").alias("id"), F.col(self.text).alias("text"))
         chosen = narrow.join(F.broadcast(ids) if small(ids, BROADCAST_ROWS) else ids, "id", "left_semi")
         sets = chosen.mapInArrow(_sets_of(self.k), "id long, members array<long>")
         return materialise(sets if self.once else sets.distinct(), "sets")
 
-    def within_size(self, pairs: DataFrame) -> DataFrame:
-        """Sets whose sizes differ too much can't be similar enough."""
-        a, b = self.sizes.toDF("a", "n_a"), self.sizes.toDF("b", "n_b")
-        return pairs.join(a, "a").join(b, "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * self.percent).select("a", "b")
+    def possible(self, pairs: DataFrame) -> DataFrame:
+        """Pairs that may be similar enough by their sizes and by what each shares with any other candidate."""
+        a, b = self.bounds.toDF("a", "n_a", "shared_a"), self.bounds.toDF("b", "n_b", "shared_b")
+        return pairs.join(a, "a").join(b, "b").where(self.may_link()).select("a", "b")
+
+    def may_link(self) -> Column:
+        most = F.least("shared_a", "shared_b", "n_a", "n_b")
+        return most * 100 >= (F.col("n_a") + F.col("n_b") - most) * self.percent
+
+    def bound(self, sets: DataFrame, mixed: DataFrame) -> None:
+        """For the members of mixed nodes, count the shingles that stand in another member of a mixed node.
+
+        No two of them have more in common than either's count, which rules most pairs out without their sets.
+        """
+        if not self.once:
+            return
+        ids = mixed.select("id").distinct()
+        shingles = sets.join(ids, "id", "left_semi").select("id", F.explode("members").alias("shingle"))
+        lonely = shingles.groupBy("shingle").agg(F.count("*").alias("m"), F.min("id").alias("id")).where("m = 1")
+        lonely = lonely.groupBy("id").agg(F.count("*").alias("lonely"))
+        counted = self.classes.select("id", "n").join(ids, "id", "left_semi").join(lonely, "id", "left")
+        self.bounds = materialise(counted.select("id", "n", (F.col("n") - F.coalesce("lonely", F.lit(0))).alias("shared")), "bounds")
 
     def apart(self, pairs: DataFrame) -> DataFrame:
         """Pairs that aren't connected yet."""
@@ -176,17 +197,16 @@ class _Join:
         joined = pairs.join(a, "a", "left").join(b, "b", "left")
         return joined.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
 
-    def link(self, pairs: DataFrame, sets: DataFrame | None = None) -> bool:
+    def link(self, pairs: DataFrame, sets: DataFrame) -> None:
         """Confirm pairs and take the links into the components."""
-        found = materialise(self.confirmed(pairs, sets if sets is not None else self.sets(pairs)), "links")
+        found = materialise(self.confirmed(pairs, sets), "links")
         if found.isEmpty():
-            return False
+            return
         self.links.append(found)
         union = self.links[0]
         for more in self.links[1:]:
             union = union.unionAll(more)
         self.labels = connected_components(union)
-        return True
 
     def grouped(self, rows: DataFrame) -> DataFrame:
         """The members of nodes that hold more than one: node, tree, id, m members, a the least of them."""
@@ -198,52 +218,54 @@ class _Join:
 
     def run(self, trees: int) -> DataFrame | None:
         grouped = self.grouped(self.classes.select("id", F.inline(leaf_keys(trees))))
-        pairs = materialise(self.within_size(self.stars(grouped)), "pairs")
+        pairs = materialise(self.possible(self.stars(grouped)), "pairs")
         if pairs.isEmpty():
             return None
-        sets = self.sets(pairs)
-        self.link(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets)
-        self.link(materialise(self.apart(pairs), "pairs"), sets)
-        tried = pairs
+        sets = self.sets(grouped)
+        tried = materialise(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")
+        self.link(tried, sets)
+        mixed = self.mixed_nodes(grouped)
+        self.bound(sets, mixed)
+        left = materialise(self.possible(self.apart(pairs.join(tried, ["a", "b"], "left_anti"))), "pairs")
+        if not left.isEmpty():
+            self.link(left, sets)
+            tried = tried.unionAll(left)
         for depth in range(LEVELS, MAX_DEPTH + 1):
-            mixed = self.mixed_nodes(grouped)
-            if depth == MAX_DEPTH:
-                left = self.across(mixed)
-                if not left.isEmpty():
-                    self.link(left)
-                break
-            left = materialise(self.across(mixed.where(F.col("m") <= SMALL_NODE)).join(tried, ["a", "b"], "left_anti"), "pairs")
+            mixed = self.mixed_nodes(mixed)
+            last = depth == MAX_DEPTH
+            left = self.across(mixed if last else mixed.where(F.col("m") <= SMALL_NODE)).join(tried, ["a", "b"], "left_anti")
+            left = materialise(left, "pairs")
             if not left.isEmpty():
-                self.link(left)
+                self.link(left, sets)
                 tried = tried.unionAll(left)
+            if last:
+                break
             large = mixed.where(F.col("m") > SMALL_NODE).select("node", "tree", "id").join(self.classes.select("id", "signature"), "id")
-            grouped = self.grouped(large.select("id", F.inline(child_keys(depth))).distinct())
-            if grouped.isEmpty():
+            mixed = self.grouped(large.select("id", F.inline(child_keys(depth))).distinct())
+            if mixed.isEmpty():
                 break
-            pairs = materialise(self.apart(self.within_size(self.stars(grouped))).join(tried, ["a", "b"], "left_anti"), "pairs")
+            pairs = materialise(self.possible(self.apart(self.stars(mixed))).join(tried, ["a", "b"], "left_anti"), "pairs")
             if not pairs.isEmpty():
-                self.link(pairs)
+                self.link(pairs, sets)
                 tried = tried.unionAll(pairs)
         return self.labels
 
     def mixed_nodes(self, grouped: DataFrame) -> DataFrame:
-        """Members of nodes with three or more of them in more than one component: node, tree, id, label, m."""
-        members = grouped.where("m > 2")
+        """Members that may link to any other, of nodes that hold more than one component of them: node, tree, id, label, m."""
+        members = grouped.select("node", "tree", "id").join(self.bounds.where(F.col("shared") * 100 >= F.col("n") * self.percent).select("id").distinct(), "id")
         if self.labels is None:
             members = members.withColumn("label", F.col("id"))
         else:
             members = members.join(self.labels.toDF("id", "known"), "id", "left").withColumn("label", F.coalesce("known", "id")).drop("known")
-        members = materialise(members.select("node", "tree", "id", "label", "m"), "members")
-        mixed = members.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("node")
-        return materialise(members.join(mixed, "node", "left_semi"), "mixed")
+        members = materialise(members.select("node", "tree", "id", "label"), "members")
+        mixed = members.groupBy("node").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
+        return materialise(members.join(mixed.select("node", "m"), "node"), "mixed")
 
     def across(self, members: DataFrame) -> DataFrame:
-        """Pairs of one node that are in different components and close enough in size."""
-        m = members.select("node", "id", "label").join(self.sizes, "id")
-        a = m.select("node", F.col("id").alias("a"), F.col("label").alias("label_a"), F.col("n").alias("n_a"))
-        b = m.select("node", F.col("id").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"))
-        close = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * self.percent
-        return a.join(b, "node").where((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & close).select("a", "b").distinct()
+        """Pairs of one node that are in different components and may be similar enough."""
+        m = members.select("node", "id", "label").join(self.bounds, "id")
+        a, b = (m.select("node", *[F.col(c).alias(f"{c}_{d}") for c in ("label", "n", "shared")], F.col("id").alias(d)) for d in "ab")
+        return a.join(b, "node").where((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & self.may_link()).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = SIMILARITY_PERCENT, trees: int = TREES) -> DataFrame:
@@ -273,3 +295,23 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     out = rows.select("doc_id", "n_shingles", "print").join(members, "print", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **more) -> DataFrame:
+    """``docs`` with one document of each group of near-duplicates, the one with the smallest doc_id.
+
+    Of repeated rows of that document one stays. Of rows without a doc_id those stay that copy no other row's text.
+    """
+    found = materialise(near_duplicates(docs, doc_id, text, **more), "found")
+    gone = found.where("doc_id is not null and not kept").select(F.col("doc_id").alias(doc_id)).distinct()
+    named = docs.where(F.col(f"`{doc_id}`").isNotNull())
+    kept = named.join(F.broadcast(gone) if small(gone, BROADCAST_ROWS) else gone, doc_id, "left_anti")
+    twice = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(doc_id))
+    twice = materialise(twice, "repeated")
+    if not twice.isEmpty():
+        kept = kept.join(twice, doc_id, "left_anti").unionByName(kept.join(twice, doc_id, "left_semi").dropDuplicates([doc_id]))
+    if not found.where("doc_id is null").isEmpty():
+        digest = F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256)
+        alone = docs.where(F.col(f"`{doc_id}`").isNull()).withColumn("_digest", digest).dropDuplicates(["_digest"])
+        kept = kept.unionByName(alone.join(named.select(digest.alias("_digest")), "_digest", "left_anti").drop("_digest"))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -50,3 +50,14 @@ def small(df: DataFrame, most_rows: int) -> bool:
 def only_columns(df: DataFrame, *names: str) -> DataFrame:
     """The named columns alone, so that extra columns, whatever their names, can't clash with an operator's own."""
     return df.select(*[df[f"`{n}`"] for n in names])
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many leading underscores as set them apart from all columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out

@@ -83,14 +83,16 @@ class Model:
                 # In how many distinct beginnings of either class a byte continues the prefix: the shared backoff.
                 kinds = np.diff(np.concatenate([first, [len(codes)]])).astype(float)
                 shared = kinds / np.bincount(parent, kinds)[parent]
+                # The backoff weight is shared as well: what discounting both classes together sets free.
+                pooled = above_counts[0] + above_counts[1]
+                free = np.bincount(parent, np.minimum(counts[0] + counts[1], DISCOUNT), minlength=len(pooled)) / pooled
                 logs = []
-                for c, above in zip(counts, above_counts, strict=True):
-                    types = np.bincount(parent, c > 0, minlength=len(above))
-                    total = np.maximum(above, 1)
-                    rest = np.where(above > 0, DISCOUNT * types / total, 1.0)
-                    logs.append(np.log(np.maximum(c - DISCOUNT, 0) / total[parent] + rest[parent] * shared))
-                    leaves = np.log(np.where(rest > 0, rest, 1.0))
-                    logs.append(leaves)
+                for c in counts:
+                    mass = np.maximum(c - DISCOUNT, 0)
+                    whole = np.bincount(parent, mass, minlength=len(pooled))
+                    own = mass / np.where(whole > 0, whole, 1.0)[parent]
+                    logs.append(np.log(np.where(whole[parent] > 0, (1 - free[parent]) * own + free[parent] * shared, shared)))
+                    logs.append(np.log(np.where(whole > 0, free, 1.0)))
                 step = np.where(going, logs[0] - logs[2], 0.0)
                 evidence = evidence + step[node]
                 # A word that leaves at the parent takes the parent's evidence and both classes' backoff weights.
@@ -151,7 +153,7 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _measure(shipped):
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pickle.loads(shipped.value)
-        for batch in batches:
+        for batch in W.pieces(batches, 0):
             f = features(model, batch.column(0))
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(f[:, 0]), pa.array(f[:, 1])], names=["toxic", "window", "mean"])
 
@@ -222,22 +224,23 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 def _scorer(shipped, n_keep: int):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = pickle.loads(shipped.value)
-        for batch in batches:
+        for batch in W.pieces(batches, 0):
             if fitted is None:
                 scores = np.zeros(batch.num_rows)
             else:
                 model, w = fitted
-                scores = 1 / (1 + np.exp(-np.clip(w[0] + features(model, batch.column("_text")) @ w[1:], -500, 500)))
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(n_keep)], pa.array(scores)], names=[*batch.schema.names[:n_keep], "score"])
+                scores = 1 / (1 + np.exp(-np.clip(w[0] + features(model, batch.column(0)) @ w[1:], -500, 500)))
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(1, 1 + n_keep)], pa.array(scores)], names=[*batch.schema.names[1:], "score"])
 
     return score
 
 
 def score(docs: DataFrame, fitted: tuple[Model, np.ndarray] | None, text: str = "text") -> DataFrame:
-    """``docs`` with score, the probability of being toxic."""
+    """``docs`` with score, the probability of being toxic, instead of a column of that name."""
     shipped = docs.sparkSession.sparkContext.broadcast(pickle.dumps(fitted))
-    schema = docs.limit(0).withColumn("score", F.lit(0.0)).schema
-    return docs.withColumn("_text", F.col(f"`{text}`")).mapInArrow(_scorer(shipped, len(docs.columns)), schema)
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() != "score"]
+    schema = docs.select(*kept).withColumn("score", F.lit(0.0)).schema
+    return docs.select(F.col(f"`{text}`").alias("_text"), *kept).mapInArrow(_scorer(shipped, len(kept)), schema)
 
 
 def report(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:

@@ -103,6 +103,18 @@ def fingerprints(column: pa.Array | pa.ChunkedArray, kind: str) -> tuple[np.ndar
     return mix(out), np.searchsorted(begins, at)
 
 
+def pieces(batches, column: int | str, most: int = 4 << 20):
+    """The batches in slices of about ``most`` bytes of text, so that memory doesn't follow the batch size."""
+    for batch in batches:
+        texts = batch.column(column).cast(pa.large_string())
+        at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        row = 0
+        while row < batch.num_rows:
+            end = max(row + 1, int(np.searchsorted(at, at[row] + most, "right")) - 1)
+            yield batch.slice(row, end - row)
+            row = end
+
+
 def of_texts(texts: list[str | None], kind: str) -> list[np.ndarray]:
     """Word fingerprints of each text."""
     words, at = fingerprints(pa.array(texts, pa.string()), kind)

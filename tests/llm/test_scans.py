@@ -56,7 +56,7 @@ def secret_brute(doc, text, rules):
     found = []
     for rank, rule in enumerate(rules):
         rx = {"hex": r"[0-9a-f]+"}.get(rule.kind, rule.regex)
-        for m in re.finditer(rx, text):
+        for m in re.finditer(rx, text, re.ASCII):
             if len(m.group(rule.group)) >= rule.at_least:
                 found.append((m.start(), rank, m.end(), rule.kind))
     found.sort()
