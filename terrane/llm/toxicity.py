@@ -1,18 +1,20 @@
 """Toxicity scores from class-conditional Kneser-Ney models.
 
 An expression (a word, A-Z folded) is generated byte by byte from its beginning; the context of a byte is the whole
-prefix before it. For each class (toxic, ordinary) the estimate is Kneser-Ney with absolute discounting,
+prefix before it. For each class (toxic, ordinary) the estimate is of the Kneser-Ney kind with absolute discounting,
 
-    P_c(b | prefix) = max(n_c(prefix b) - D, 0) / n_c(prefix) + D t_c(prefix) / n_c(prefix) * P(b | prefix),
+    P_c(b | prefix) = (1 - w(prefix)) m_c(prefix b) / m_c(prefix) + w(prefix) P(b | prefix),
 
-where t_c counts the distinct continuations of a prefix in the class and the backoff P is shared by both classes: it
-counts in how many distinct expressions of either class a byte continues the prefix. Rare expressions and unseen
-inflections of a stem fall back to their prefix and otherwise to the shared counts, where the classes agree.
+where m_c is the class's count less a discount D (summed over the bytes that follow, for the prefix), w is the share
+of the count that discounting both classes together sets free, and the backoff P counts in how many distinct
+expressions of either class the byte continues the prefix. Backoff weights and backoff counts are shared by the
+classes, so that rare expressions and unseen inflections of a stem get the evidence of the prefix that is known and
+otherwise none. (With weights of their own, the smaller class would favour everything rare.)
 
-An expression's evidence is the difference of its toxic and ordinary log likelihoods, taken per class from the table
-above. A text is compared by length-normalised likelihoods over its windows: the mean difference over the most toxic
-``WINDOW`` consecutive expressions and over the whole text, turned into a probability by a logistic curve that is
-fitted on a bounded sample of training rows (``CALIBRATION_ROWS``).
+An expression's evidence is the difference of its toxic and ordinary log likelihoods. A text is compared by
+length-normalised likelihoods over its windows: the mean difference over the most toxic ``WINDOWS`` consecutive
+expressions and over the whole text, turned into a probability by a logistic curve. The curve is fitted on a bounded
+sample (``CALIBRATION_ROWS``) of a quarter of the training rows, seen through a model of the other three quarters.
 
 Scale: counts are taken over all labelled training rows; each batch ships one row per distinct eight-byte beginning.
 The table that goes to the executors has at most ``MODEL_ROWS`` entries: while it has more, the rarest are merged into
@@ -34,11 +36,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .scratch import only_columns, small
+from .scratch import materialise, only_columns, small
 
 DEPTH = 8
 DISCOUNT = 0.75
-WINDOW = 2
+WINDOWS = (1, 2)
+ASIDE = 4
 MODEL_ROWS = 1_000_000
 CALIBRATION_ROWS = 20_000
 BROADCAST_ROWS = 2_000_000
@@ -119,9 +122,9 @@ class Model:
 
 
 def features(model: Model, column: pa.Array) -> np.ndarray:
-    """Per row: the mean evidence of its most toxic window and of the whole text."""
+    """Per row: the mean evidence of its most toxic window of each length, and of the whole text."""
     codes, at = beginnings(column)
-    out = np.zeros((len(at) - 1, 2))
+    out = np.zeros((len(at) - 1, len(WINDOWS) + 1))
     if not len(codes):
         return out
     distinct, back = np.unique(codes, return_inverse=True)
@@ -129,25 +132,25 @@ def features(model: Model, column: pa.Array) -> np.ndarray:
     n = np.diff(at)
     rows = np.flatnonzero(n)
     sums = np.concatenate([[0.0], np.cumsum(evidence)])
-    out[rows, 1] = (sums[at[1:][rows]] - sums[at[:-1][rows]]) / n[rows]
-    row_end = np.repeat(at[1:], n)
-    row_begin = np.repeat(at[:-1], n)
-    begin = np.arange(len(codes))
-    end = np.minimum(begin + WINDOW, row_end)
-    begin = np.maximum(row_begin, end - WINDOW)
-    mean = (sums[end] - sums[begin]) / (end - begin)
-    out[rows, 0] = np.maximum.reduceat(mean, at[:-1][rows])
+    out[rows, -1] = (sums[at[1:][rows]] - sums[at[:-1][rows]]) / n[rows]
+    row_begin, row_end = np.repeat(at[:-1], n), np.repeat(at[1:], n)
+    for i, window in enumerate(WINDOWS):
+        end = np.minimum(np.arange(len(codes)) + window, row_end)
+        begin = np.maximum(row_begin, end - window)
+        out[rows, i] = np.maximum.reduceat((sums[end] - sums[begin]) / (end - begin), at[:-1][rows])
     return out
 
 
+COUNTS = ["toxic", "ordinary", "toxic_aside", "ordinary_aside"]
+
+
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         codes, at = beginnings(batch.column(0))
-        toxic = np.repeat(np.array(batch.column(1), dtype=np.int64), np.diff(at))
+        toxic, aside = (np.repeat(np.array(batch.column(i), dtype=np.int64), np.diff(at)) for i in (1, 2))
         distinct, back = np.unique(codes, return_inverse=True)
-        bad = np.bincount(back, toxic, minlength=len(distinct)).astype(np.int64)
-        good = np.bincount(back, minlength=len(distinct)) - bad
-        yield pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), pa.array(bad), pa.array(good)], names=["code", "toxic", "ordinary"])
+        sums = [np.bincount(back, w, minlength=len(distinct)).astype(np.int64) for w in (toxic, 1 - toxic, toxic * aside, (1 - toxic) * aside)]
+        yield pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), *map(pa.array, sums)], names=["code", *COUNTS])
 
 
 def _measure(shipped):
@@ -155,7 +158,8 @@ def _measure(shipped):
         model = pickle.loads(shipped.value)
         for batch in W.pieces(batches, 0):
             f = features(model, batch.column(0))
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(f[:, 0]), pa.array(f[:, 1])], names=["toxic", "window", "mean"])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(f) + 1, dtype=np.int32) * f.shape[1]), pa.array(f.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(1), lists], names=["toxic", "features"])
 
     return measure
 
@@ -187,38 +191,41 @@ def training_rows(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, la
 
 def bounded_counts(counts: DataFrame, most: int) -> DataFrame:
     """The counts with the rarest beginnings merged into their four-byte prefix until at most ``most`` rows are left."""
-    least = 1
-    out = counts
+    least, out = 1, counts
     while out.count() > most:
         least *= 2
         if least > 1 << 20:
             raise ValueError(f"{most} rows are too few for a model of this alphabet")
         short = F.when(F.col("toxic") + F.col("ordinary") >= least, F.col("code")).otherwise(F.shiftleft(F.shiftrightunsigned("code", 32), 32))
-        out = counts.select(short.alias("code"), "toxic", "ordinary").groupBy("code").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+        out = counts.select(short.alias("code"), *COUNTS).groupBy("code").agg(*[F.sum(c).alias(c) for c in COUNTS])
     return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple[Model, np.ndarray] | None:
     """The model and the curve's weights; None without training rows of both classes."""
-    from .scratch import materialise
-
-    train = training_rows(docs, labels, doc_id, text, label)
-    counts = train.select("text", "toxic").mapInArrow(_counter, "code long, toxic long, ordinary long")
-    counts = materialise(counts.groupBy("code").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")), "counts")
+    train = training_rows(docs, labels, doc_id, text, label).withColumn("aside", F.when(F.pmod(F.xxhash64("doc_id"), F.lit(ASIDE)) == 0, 1).otherwise(0))
+    counts = train.select("text", "toxic", "aside").mapInArrow(_counter, "code long, toxic long, ordinary long, toxic_aside long, ordinary_aside long")
+    counts = materialise(counts.groupBy("code").agg(*[F.sum(c).alias(c) for c in COUNTS]), "counts")
     table = bounded_counts(counts, MODEL_ROWS).toArrow()
     codes = np.array(table.column("code"), dtype=np.int64).view(np.uint64)
     order = np.argsort(codes)
-    toxic, ordinary = (np.array(table.column(c), dtype=np.int64)[order] for c in ("toxic", "ordinary"))
+    codes = codes[order]
+    toxic, ordinary, toxic_aside, ordinary_aside = (np.array(table.column(c), dtype=np.int64)[order] for c in COUNTS)
     if not toxic.sum() or not ordinary.sum():
         return None
-    model = Model(codes[order], toxic, ordinary)
-    shipped = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
-    total = train.count()
-    part = train.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, CALIBRATION_ROWS / total)))
-    got = part.select("text", "toxic").mapInArrow(_measure(shipped), "toxic long, window double, mean double").toArrow()
-    x = np.column_stack([np.array(got.column("window")), np.array(got.column("mean"))])
-    y = np.array(got.column("toxic"), dtype=float)
-    return model, _logistic(x, y)
+    model = Model(codes, toxic, ordinary)
+    if toxic_aside.sum() and ordinary_aside.sum() and (toxic > toxic_aside).any() and (ordinary > ordinary_aside).any():
+        seen = toxic + ordinary > toxic_aside + ordinary_aside
+        judge = Model(codes[seen], (toxic - toxic_aside)[seen], (ordinary - ordinary_aside)[seen])
+        judged = train.where("aside = 1")
+    else:
+        judge, judged = model, train
+    shipped = docs.sparkSession.sparkContext.broadcast(pickle.dumps(judge))
+    total = judged.count()
+    part = judged.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, CALIBRATION_ROWS / total)))
+    got = part.select("text", "toxic").mapInArrow(_measure(shipped), "toxic long, features array<double>").toArrow()
+    x = np.concatenate([np.array(c.flatten()) for c in got.column("features").chunks]).reshape(-1, len(WINDOWS) + 1)
+    return model, _logistic(x, np.array(got.column("toxic"), dtype=float))
 
 
 def _scorer(shipped, n_keep: int):
