@@ -1,37 +1,16 @@
 """Intermediate tables in the folder that the driver and all executors share.
 
 Lineage is cut by writing Parquet below ``spark.checkpoint.dir`` and reading it again: the files survive the loss of
-any executor. Only a local session, where the setting may be missing, gets a folder of its own.
+any executor.
 """
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
+from terrane.shared import new_path
 
-_LOCAL: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder, as a path that Spark and every executor can open."""
-    set_by_cluster = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if set_by_cluster:
-        return set_by_cluster.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL:
-        _LOCAL[app] = tempfile.mkdtemp(prefix="terrane-")
-        atexit.register(shutil.rmtree, _LOCAL[app], ignore_errors=True)
-    return "file://" + _LOCAL[app]
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/terrane/{name}-{uuid.uuid4().hex}"
+__all__ = ["fresh", "materialise", "new_path", "only_columns", "small"]
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
