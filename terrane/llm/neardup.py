@@ -10,8 +10,9 @@ probability below 0.0625^4 = 1.6e-5, and rapidly less above; ``TREES`` sets the
 The root and the first levels always hold too much, so three levels are taken at once; below that
 
 * every node links its members to its smallest one (a star, linear in the node);
-* nodes of up to ``SMALL_NODE`` members in which more than one component is left are compared exhaustively across
-  components;
+* small nodes in which more than one component is left are compared exhaustively: pair by pair up to ``TINY_NODE``
+  members, and up to ``SMALL_NODE`` (and ``SMALL_NODE_SHINGLES``) in one task by a product of membership matrices, which
+  returns no more links than span the node;
 * larger ones with more than one component branch again, to ``MAX_DEPTH`` levels, and are then compared across
   components without any cap.
 
@@ -39,6 +40,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,7 +54,9 @@ SIMILARITY_PERCENT = 80
 TREES = 4
 LEVELS = 3
 COORDINATES = 64
-SMALL_NODE = 1024
+SMALL_NODE = 4096
+SMALL_NODE_SHINGLES = 4_000_000
+TINY_NODE = 16
 MAX_DEPTH = 10
 BROADCAST_ROWS = 500_000
 
@@ -144,6 +148,45 @@ def child_keys(depth: int) -> Column:
     return F.array(*keys)
 
 
+def _node_links(percent: int):
+    def links(node: pd.DataFrame) -> pd.DataFrame:
+        """Compare all members of a node; links that span what they connect, between different labels only."""
+        sets, ids, labels = node["members"].tolist(), node["id"].tolist(), node["label"].tolist()
+        n = np.array([len(s) for s in sets])
+        _, column, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(sets)), n)
+        shared = df[column] > 1
+        row, column = row[shared], column[shared]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        column = np.cumsum(np.concatenate([[0], np.diff(column) > 0])) if len(column) else column
+        both = np.zeros((len(sets), len(sets)), np.float32)
+        for lo in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
+            i, j = np.searchsorted(column, [lo, lo + 2048])
+            block = np.zeros((len(sets), 2048), np.float32)
+            block[row[i:j], column[i:j] - lo] = 1
+            both += block @ block.T
+        root = {x: x for x in labels}
+
+        def find(x):
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        out = []
+        for i in range(len(sets) - 1):
+            hit = both[i, i + 1 :] * 100 >= (n[i] + n[i + 1 :] - both[i, i + 1 :]) * percent
+            for j in (np.flatnonzero(hit) + i + 1).tolist():
+                x, y = find(labels[i]), find(labels[j])
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return links
+
+
 class _Join:
     def __init__(self, docs: DataFrame, classes: DataFrame, doc_id: str, text: str, k: int, percent: int, once: bool) -> None:
         self.docs, self.classes, self.doc_id, self.text, self.k, self.percent, self.once = docs, classes, doc_id, text, k, percent, once
@@ -199,7 +242,10 @@ class _Join:
 
     def link(self, pairs: DataFrame, sets: DataFrame) -> None:
         """Confirm pairs and take the links into the components."""
-        found = materialise(self.confirmed(pairs, sets), "links")
+        self.take(self.confirmed(pairs, sets))
+
+    def take(self, links: DataFrame) -> None:
+        found = materialise(links, "links")
         if found.isEmpty():
             return
         self.links.append(found)
@@ -230,20 +276,24 @@ class _Join:
         if not left.isEmpty():
             self.link(left, sets)
             tried = tried.unionAll(left)
+        small_node = (F.col("m") <= SMALL_NODE) & (F.col("shingles") <= SMALL_NODE_SHINGLES)
         for depth in range(LEVELS, MAX_DEPTH + 1):
-            mixed = self.mixed_nodes(mixed)
+            mixed = self.mixed_nodes(mixed).where("m > 2")
+            if mixed.isEmpty():
+                break
             last = depth == MAX_DEPTH
-            left = self.across(mixed if last else mixed.where(F.col("m") <= SMALL_NODE)).join(tried, ["a", "b"], "left_anti")
-            left = materialise(left, "pairs")
-            if not left.isEmpty():
-                self.link(left, sets)
-                tried = tried.unionAll(left)
+            by_pairs = F.lit(True) if last else F.col("m") <= TINY_NODE
+            left = materialise(self.across(mixed.where(by_pairs)).join(tried, ["a", "b"], "left_anti"), "pairs")
+            members = mixed.where(~by_pairs & small_node).select("node", "id", "label").join(sets, "id")
+            inside = members.groupBy("node").applyInPandas(_node_links(self.percent), "a long, b long").distinct()
+            self.take(self.confirmed(left, sets).unionAll(inside))
             if last:
                 break
-            large = mixed.where(F.col("m") > SMALL_NODE).select("node", "tree", "id").join(self.classes.select("id", "signature"), "id")
+            large = mixed.where(~by_pairs & ~small_node).select("node", "tree", "id").join(self.classes.select("id", "signature"), "id")
             mixed = self.grouped(large.select("id", F.inline(child_keys(depth))).distinct())
             if mixed.isEmpty():
                 break
+            tried = tried.unionAll(left)
             pairs = materialise(self.possible(self.apart(self.stars(mixed))).join(tried, ["a", "b"], "left_anti"), "pairs")
             if not pairs.isEmpty():
                 self.link(pairs, sets)
@@ -251,15 +301,16 @@ class _Join:
         return self.labels
 
     def mixed_nodes(self, grouped: DataFrame) -> DataFrame:
-        """Members that may link to any other, of nodes that hold more than one component of them: node, tree, id, label, m."""
-        members = grouped.select("node", "tree", "id").join(self.bounds.where(F.col("shared") * 100 >= F.col("n") * self.percent).select("id").distinct(), "id")
+        """Members that may link to any other, of nodes that hold more than one component of them: node, tree, id, label, m, shingles."""
+        can = self.bounds.where(F.col("shared") * 100 >= F.col("n") * self.percent).groupBy("id").agg(F.max("n").alias("n"))
+        members = grouped.select("node", "tree", "id").join(can, "id")
         if self.labels is None:
             members = members.withColumn("label", F.col("id"))
         else:
             members = members.join(self.labels.toDF("id", "known"), "id", "left").withColumn("label", F.coalesce("known", "id")).drop("known")
-        members = materialise(members.select("node", "tree", "id", "label"), "members")
-        mixed = members.groupBy("node").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-        return materialise(members.join(mixed.select("node", "m"), "node"), "mixed")
+        members = materialise(members.select("node", "tree", "id", "label", "n"), "members")
+        mixed = members.groupBy("node").agg(F.count("*").alias("m"), F.sum("n").alias("shingles"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
+        return materialise(members.drop("n").join(mixed.select("node", "m", "shingles"), "node"), "mixed")
 
     def across(self, members: DataFrame) -> DataFrame:
         """Pairs of one node that are in different components and may be similar enough."""

@@ -61,8 +61,10 @@ def test_chains_repeated_ids_and_deep_branching(spark, monkeypatch):
     chain = [(50 - i, " ".join(words[2 * i : 2 * i + 60])) for i in range(20)]
     docs = chain + [(9, "other text of nine words that stands alone here"), (50, "second text under an id that is in the chain")]
     assert run(spark, docs, 4) == brute(docs, 4)
-    monkeypatch.setattr(N, "SMALL_NODE", 2)
     docs = corpus(2, groups=3)
+    monkeypatch.setattr(N, "TINY_NODE", 2)
+    assert run(spark, docs, 4) == brute(docs, 4)
+    monkeypatch.setattr(N, "SMALL_NODE", 2)
     assert run(spark, docs, 4) == brute(docs, 4)
     monkeypatch.setattr(N, "BROADCAST_ROWS", 1)
     assert run(spark, docs, 4) == brute(docs, 4)
