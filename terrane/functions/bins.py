@@ -63,3 +63,16 @@ def cosine_distance(a: Column, b: Column) -> Column:
 def chosen_arguments(arguments: Column, indexes: Column) -> Column:
     """The arguments at the 1-based indexes; all of them if there are none."""
     return F.when(F.size(indexes) == 0, arguments).otherwise(F.filter(arguments, lambda x, i: F.array_contains(indexes, i + 1)))
+
+
+def unit_vector(a: Column) -> Column:
+    """The vector scaled to length one."""
+    return F.transform(a, lambda x: x.cast("double") / (norm(a) + F.lit(1e-12)))
+
+
+def mean_pool(vectors: Column, most: int = 512) -> Column:
+    """The mean of the first token vectors, scaled to length one."""
+    first = F.slice(vectors, 1, most)
+    zero = F.transform(F.get(first, F.lit(0)), lambda x: F.lit(0.0))
+    total = F.aggregate(first, zero, lambda s, v: F.zip_with(s, v, lambda x, y: x + y.cast("double")))
+    return unit_vector(total)

@@ -217,3 +217,13 @@ def cell_key(*dims: Column) -> Column:
     for d in dims:
         known = known & d.isNotNull()
     return F.when(known, F.concat_ws("|", *dims))
+
+
+def error_lines(text: Column) -> Column:
+    """The lines that speak of an error or exception, without colours."""
+    plain = F.split(without_colours(text), "\r?\n")
+    return F.filter(plain, lambda line: line.rlike("(?i)error|exception"))
+
+
+def source_name(language: Column) -> Column:
+    return F.when(language == "c++", "unit.cpp").otherwise("unit.c")

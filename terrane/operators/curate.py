@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -117,3 +117,10 @@ def augmentation_sample(df: DataFrame, n: int, seed: int, source: str) -> DataFr
     """A sample of non-blank exported rows as augmentation: id, code, label, source."""
     filled = df.where(T.strip(F.coalesce("code", F.lit(""))) != "")
     return seeded_sample(filled, n, seed).select("id", "code", F.lit(1).alias("label"), F.coalesce("source", F.lit(source)).alias("source"))
+
+
+def first_existing(spark: SparkSession, *paths: str) -> str:
+    """The first path that exists in its store; the first of all if none does."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    return next((p for p in paths if hadoop(p).getFileSystem(conf).exists(hadoop(p))), paths[0])

@@ -144,6 +144,21 @@ def weakness_diagnostics() -> Column:
     return F.array_join(F.concat(F.array_compact(lines), F.coalesce(notes, F.array().cast("array<string>"))), "\n")
 
 
+def characterization_diagnostics(missing: Column, flow: Column) -> Column:
+    """Lines that say why dimensions couldn't be measured; at most ten sinks and sources are named."""
+    code = lambda items: F.concat(F.lit("["), F.array_join(F.transform(F.slice(items, 1, 10), lambda x: x["code"]), ", "), F.lit("]"))
+    found = F.coalesce(flow["target_found"], F.lit(False))
+    sinks, sources = F.coalesce(flow["sinks"], F.array()), F.coalesce(flow["sources"], F.array())
+    why = F.when(F.size(sinks) == 0, "No sink of the family was identified in the target function.").when(flow["taint_edges"].isNull(), "No flow from a source to a sink was recovered.")
+    return F.concat_ws(
+        "\n",
+        F.concat(F.lit("Dimensions not determined: "), F.array_join(missing, ", ")),
+        F.when(~found, "The target function's definition wasn't found.").otherwise(why),
+        F.when(found, F.concat(F.lit("Sinks found: "), code(flow["sinks"]))),
+        F.when(found, F.concat(F.lit("Sources found: "), code(flow["sources"]))),
+    )
+
+
 def requirements() -> Column:
     """The descriptor's known dimensions as sentences, in order."""
     cwes = {f: ", ".join(map(str, numbers)) for f, (_, numbers) in atlas.FAMILIES.items()}

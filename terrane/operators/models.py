@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrane.operators import curate
@@ -15,6 +15,13 @@ def diverse(pools: DataFrame) -> DataFrame:
     return pools.join(counted.select(ok.alias("pool")), "pool")
 
 
+def from_config(spark: SparkSession, data: dict) -> tuple[DataFrame, DataFrame]:
+    """The pools and the stages' pools of a configuration; every pool has to be diverse."""
+    pools = [(pool, m["name"], m["family"], m.get("provider"), m.get("model_id")) for pool, ms in data["pools"].items() for m in ms]
+    stages = list(data["stage_pools"].items())
+    return diverse(spark.createDataFrame(pools, "pool string, name string, family string, provider string, model_id string")), spark.createDataFrame(stages, "stage string, pool string")
+
+
 def stage_models(stages: DataFrame, pools: DataFrame) -> DataFrame:
     """stage, name, family: ``stages`` (stage, pool) with their pools' models."""
     return stages.join(F.broadcast(pools), "pool").select("stage", "name", "family")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from terrane.functions import prompts
+from terrane.functions import bins, prompts
 from terrane.functions import text as T
 from terrane.operators import atlas, evidence, flows, replay
 from terrane.plans import stand_ins as S
@@ -72,6 +72,8 @@ QUERIES = {
     "replay_outcomes": lambda s, d: replay.outcomes(Tables(s, d), 0.8).select("id", "check", "cell_key"),
     "replay_archive": lambda s, d: replay.archive(Tables(s, d), 0.8).select("id", "cell_key", "family", F.sha2("code", 256).alias("code_sha"), "target_name"),
     "event_accounting": lambda s, d: S.log(s, d).groupBy("stage").agg(F.count("*").alias("iterations"), F.count_if("accepted").alias("accepted"), F.count_distinct("target_key").alias("targets")),
+    "run_outcomes": lambda s, d: S.table(s, d, "orders").select("o_orderkey", evidence.run_outcome(F.when(F.col("o_orderkey") % 4 == 0, "x\n  ERROR: LeakSanitizer: y \nz").otherwise("fine"), F.col("o_orderkey") % 3 == 0, (F.col("o_orderkey") % 5 - 2).cast("int")).alias("o")).select("o_orderkey", "o.*"),
+    "mean_pooling": lambda s, d: S.table(s, d, "embeddings").select("vec_id", bins.mean_pool(F.array("embedding", F.reverse("embedding"))).alias("v")).select("vec_id", F.round(F.element_at("v", 1), 5).alias("first"), F.round(F.element_at("v", 7), 5).alias("seventh")),
     "diagnostic_texts": lambda s, d: S.rounds(s, d).where("stage <> 'accepted'").select("run", "round", F.concat_ws(": ", "stage", F.lit("failed")).alias("text")),
 }
 _REFS = "'References for style only:' || chr(10) || '--- reference 1' || CASE WHEN doc_id % 2 = 0 THEN ' (CWE 787)' ELSE '' END || ' ---' || chr(10) || CASE WHEN length(text) > 500 THEN left(text, 500) || chr(10) || '/* ... truncated ... */' ELSE text END"
@@ -103,5 +105,9 @@ SQL = {
     "replay_outcomes": f'{_REPLAY} SELECT id, "check", cell_key FROM outc',
     "replay_archive": f"{_REPLAY} SELECT id, cell_key, family, sha256('int f(int a) {{' || chr(10) || '// ' || id || chr(10) || '}}') AS code_sha, 'f' AS target_name FROM outc WHERE \"check\" = 'accepted'",
     "event_accounting": f"{_W('log')} SELECT stage, count(*) AS iterations, count(*) FILTER (accepted) AS accepted, count(DISTINCT target_key) AS targets FROM log GROUP BY stage",
+    "run_outcomes": """SELECT o_orderkey, o_orderkey % 3 = 0 OR o_orderkey % 5 < 2 OR o_orderkey % 4 = 0 AS triggered,
+        CASE WHEN o_orderkey % 4 = 0 THEN 'ERROR: LeakSanitizer: y' WHEN o_orderkey % 3 = 0 THEN 'timeout' WHEN o_orderkey % 5 < 2 THEN 'signal ' || (2 - o_orderkey % 5) ELSE '' END AS error_text FROM orders""",
+    "mean_pooling": """WITH p AS (SELECT vec_id, list_transform(range(1, len(embedding) + 1), lambda i: CAST(embedding[i] AS DOUBLE) + CAST(embedding[len(embedding) + 1 - i] AS DOUBLE)) AS v FROM embeddings)
+        SELECT vec_id, round(v[1] / sqrt(list_dot_product(v, v)), 5) AS first, round(v[7] / sqrt(list_dot_product(v, v)), 5) AS seventh FROM p""",
     "diagnostic_texts": f"{_W('rounds')} SELECT run, round, stage || ': failed' AS text FROM rounds WHERE stage <> 'accepted'",
 }

@@ -78,3 +78,8 @@ def build(kind, data: dict):
 
 def run_config(path: str | Path, overrides: dict | None = None) -> RunConfig:
     return build(RunConfig, merged(load(path), overrides or {}))
+
+
+def version_mismatches(expected: Mapping[str, str], actual: Mapping[str, str]) -> list[str]:
+    """The tools whose actual version doesn't contain the expected one, or that are missing."""
+    return [tool for tool, version in expected.items() if version not in actual.get(tool, "")]

@@ -205,6 +205,38 @@ def archive_vectors(encoded: Column) -> Column:
     return decode(encoded)
 
 
+ARCHIVE = (
+    "id string, cell array<string>, descriptor map<string, string>, family string, target array<string>, stage string, mode string, rounds int,"
+    " candidate struct<vulnerable: string, patched: string, context: string, target_name: string, language: string, fix_summary: string, generator: string, refiners: array<string>>,"
+    " evidence string, variant string, embedding string"
+)
+
+
+def archive_log(spark: SparkSession, path: str) -> DataFrame:
+    """An archive's log as id, cell_key, family, the candidate and its decoded vector."""
+    rows = jsonl(spark, path, ARCHIVE)
+    return rows.select("id", F.concat_ws("|", "cell").alias("cell_key"), "family", "target", "stage", "mode", "rounds", "candidate", archive_vectors(F.col("embedding")).alias("embedding"))
+
+
+def family_tables(spark: SparkSession, families: dict[str, dict]) -> dict[str, DataFrame]:
+    """A families' configuration as small tables: sinks, sources, queries and sanitizers."""
+    sinks, sources, queries, sanitizers = [], [], [], []
+    for family, c in families.items():
+        for kind in ("sink_calls", "sink_operators"):
+            sinks += [(family, kind, name, list(indexes)) for name, indexes in (c.get(kind) or {}).items()]
+        for kind in ("source_calls", "dealloc_calls", "acquire_calls"):
+            sources += [(family, kind, name) for name in c.get(kind) or []]
+        queries += [(family, q) for q in c.get("codeql_queries") or []]
+        if c.get("sanitizer"):
+            sanitizers.append((family, c["sanitizer"], [e.lower() for e in c.get("sanitizer_errors") or []]))
+    return {
+        "sinks": spark.createDataFrame(sinks, "family string, kind string, name string, indexes array<int>"),
+        "sources": spark.createDataFrame(sources, "family string, kind string, name string"),
+        "queries": spark.createDataFrame(queries, "family string, selector string"),
+        "sanitizers": spark.createDataFrame(sanitizers, "family string, sanitizer string, patterns array<string>"),
+    }
+
+
 def scheduler_state(text: str):
     from terrane.operators.schedule import State
 

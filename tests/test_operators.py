@@ -233,3 +233,21 @@ def test_streams_equal_batch(spark, tmp_path):
     got = {(r.seq, r.accepted) for r in jobs.drain(jobs.greedy_admission(stream, 0.3), "test").collect()}
     want = {(r.seq, r.accepted) for r in diversity.greedy_admission(spark.createDataFrame(rows, schema), 0.3).collect()}
     assert got == want
+
+
+def test_small_tables_and_texts(spark, tmp_path):
+    tables = readers.family_tables(spark, {"a": {"sink_calls": {"memcpy": [3], "gets": []}, "sanitizer": "asan", "sanitizer_errors": ["X"], "codeql_queries": ["q"]}, "b": {"dealloc_calls": ["free"]}})
+    assert {k: v.count() for k, v in tables.items()} == {"sinks": 2, "sources": 1, "queries": 1, "sanitizers": 1}
+    pools, stages = models.from_config(spark, {"pools": {"p": [{"name": "m", "family": "x"}, {"name": "n", "family": "y"}]}, "stage_pools": {"s": "p"}})
+    assert sorted(r.generator for r in models.refiners(models.stage_models(stages, pools)).collect()) == ["m", "n"]
+    assert config.version_mismatches({"a": "1.2", "b": "3"}, {"a": "v1.2.3"}) == ["b"]
+    (tmp_path / "x").mkdir()
+    assert curate.first_existing(spark, str(tmp_path / "none"), str(tmp_path / "x")) == str(tmp_path / "x")
+    assert one(spark, T.error_lines(F.lit("ok\n\x1b[31mError: x\x1b[0m\n"))) == ["Error: x"]
+    flow = F.from_json(F.lit('{"target_found": true, "sinks": [{"code": "s"}], "sources": []}'), readers.FLOW)
+    text = one(spark, evidence.characterization_diagnostics(F.array(F.lit("d2")), flow))
+    assert text.split("\n") == ["Dimensions not determined: d2", "No flow from a source to a sink was recovered.", "Sinks found: [s]", "Sources found: []"]
+    record = {"id": "1", "cell": ["a", "b"], "family": "a", "embedding": one(spark, writers.encoded_vectors(F.array(F.lit(1.0), F.lit(0.5))))}
+    (tmp_path / "log.jsonl").write_text(json.dumps(record) + "\n")
+    back = readers.archive_log(spark, str(tmp_path / "log.jsonl")).first()
+    assert (back.cell_key, back.embedding) == ("a|b", [1.0, 0.5])
