@@ -150,13 +150,12 @@ def _searcher(shipped, k: int):
             for q, code, unit in zip(query_ids.tolist(), query_codes, query_units, strict=True):
                 found = index.retrieve(code)
                 found = found[ids[found] != q]
-                score = units[found] @ unit
+                # Summed row by row, so that equal vectors get equal scores wherever they stand.
+                score = (units[found] * unit).sum(axis=1)
                 if once and len(found) > k:
-                    # Equal vectors tie but for rounding; all of a tie stay for now.
-                    edge = np.partition(score, len(score) - k)[len(score) - k]
-                    near = score >= edge - 1e-12
+                    near = score >= np.partition(score, len(score) - k)[len(score) - k]
                     found, score = found[near], score[near]
-                order = np.lexsort((ids[found], -np.round(score, 12)))
+                order = np.lexsort((ids[found], -score))
                 _, first = np.unique(ids[found][order], return_index=True)
                 best = order[np.sort(first)[:k]]
                 out_q += [q] * len(best)
@@ -201,5 +200,5 @@ def search(table: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", vecto
     if found is None:
         return spark.createDataFrame([], empty)
     once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Wd.partitionBy("query_id").orderBy(F.round("score", 12).desc(), "vec_id"))
+    rank = F.row_number().over(Wd.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return once.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
