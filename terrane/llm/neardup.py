@@ -366,3 +366,20 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **more
         alone = docs.where(F.col(f"`{doc_id}`").isNull()).withColumn("_digest", digest).dropDuplicates(["_digest"])
         kept = kept.unionByName(alone.join(named.select(digest.alias("_digest")), "_digest", "left_anti").drop("_digest"))
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def oracle_sql(k: int) -> str:
+    """The same rows by a self-join on shingles, for small tables."""
+    fold = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH RECURSIVE doc AS (SELECT doc_id, regexp_extract_all({fold}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+shingle AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + {k - 1}], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - {k - 1}) + 1)) AS i FROM doc WHERE len(w) > 0)),
+size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM common JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * m >= {SIMILARITY_PERCENT} * (x.n + y.n - m)),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT a AS id, b AS other FROM edge UNION SELECT r.id, e.b FROM reach r JOIN edge e ON e.a = r.other),
+least AS (SELECT id, min(other) AS low FROM reach GROUP BY id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(low, d.doc_id)) AS component_id, d.doc_id <= coalesce(low, d.doc_id) AS kept
+FROM doc d LEFT JOIN size USING (doc_id) LEFT JOIN least ON least.id = d.doc_id
+"""
