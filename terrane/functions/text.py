@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Formats of responses, reports and code that have to be read as they are written.
+WHITESPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 MARKER = "/* @TARGET_FUNCTION@ */"
 COMMENT = r"//[^\n]*|/\*(?s:.*?)\*/"
 WHOLE_FENCE = r"^```[a-zA-Z0-9+]*\s*\n((?s:.*?))\n```\s*\z"
@@ -39,8 +40,8 @@ DESTRUCTIVE = [
 
 
 def strip(x: Column) -> Column:
-    """Without outer whitespace of any kind (``trim`` takes blanks only)."""
-    return F.regexp_replace(x, r"(?U)^\s+|\s+\z", "")
+    """Without outer whitespace of any kind (``trim`` by itself takes blanks only)."""
+    return F.btrim(x, F.lit(WHITESPACE))
 
 
 def none_if_empty(x: Column) -> Column:

@@ -70,9 +70,13 @@ def numbered(df: DataFrame, order: Column, name: str, rows_per_range: int = ROWS
 
 
 def collect_baseline(df: DataFrame, approach: str, code: str = "code", order: str = "seq") -> DataFrame:
-    """Distinct non-blank samples in arrival order with dense ids: id, code, label, source."""
+    """Distinct non-blank samples in arrival order with dense ids: id, code, label, source.
+
+    Positions are chosen and numbered by digest alone; the texts join them once at the end.
+    """
     clean = df.select(order, T.strip(F.coalesce(code, F.lit(""))).alias("code")).where("code <> ''")
-    kept = numbered(keep_first(clean, F.col("code"), order), F.col(order), "_k")
+    first = clean.groupBy(F.sha2("code", 256).alias("_by")).agg(F.min(order).alias(order)).select(order)
+    kept = clean.join(numbered(first, F.col(order), "_k"), order)
     return kept.select(F.concat(F.lit(f"{approach}::"), F.col("_k").cast("string")).alias("id"), "code", F.lit(1).alias("label"), F.lit(approach).alias("source"))
 
 
