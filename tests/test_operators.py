@@ -251,3 +251,11 @@ def test_small_tables_and_texts(spark, tmp_path):
     (tmp_path / "log.jsonl").write_text(json.dumps(record) + "\n")
     back = readers.archive_log(spark, str(tmp_path / "log.jsonl")).first()
     assert (back.cell_key, back.embedding) == ("a|b", [1.0, 0.5])
+
+
+def test_release(spark):
+    from terrane import shared
+
+    path = shared.new_path(spark, "x")
+    spark.range(3).write.parquet(path)
+    assert spark.read.parquet(path).count() == 3 and shared.release(spark) and not shared.release(spark)
