@@ -56,6 +56,16 @@ def words(text: Column) -> Column:
     return F.when(plain != "", F.split(plain, " +")).otherwise(F.array().cast("array<string>"))
 
 
+SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def n_words(text: Column) -> Column:
+    """How many words the text has; letters needn't be folded for that."""
+    parts = F.split(text, SEPARATORS, -1)
+    blank = lambda i: F.when(F.element_at(parts, i) == "", 1).otherwise(0)
+    return F.when(F.size(parts) == 1, 1 - blank(1)).otherwise(F.size(parts) - blank(1) - blank(-1))
+
+
 def vocabulary() -> list[str]:
     return sorted({w for _, text, *_ in [*PHRASES, *NOTICES] for w in text.split()})
 
@@ -63,7 +73,9 @@ def vocabulary() -> list[str]:
 def frequencies(docs: DataFrame, text: str) -> tuple[int, dict[str, int]]:
     """Rows, and for each licence word the rows that hold it, over all rows of ``docs``."""
     known = F.array(*[F.lit(w) for w in vocabulary()])
-    held = F.explode(F.concat(F.array(F.lit("")), F.array_intersect(words(F.col(text)), known)))
+    # Full lower-casing is much faster than folding A-Z alone, and a statistic may count a Kelvin sign as a k.
+    every = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), SEPARATORS)
+    held = F.explode(F.concat(F.array(F.lit("")), F.array_intersect(every, known)))
     counts = {r.word: r["count"] for r in docs.select(held.alias("word")).groupBy("word").count().collect()}
     return counts.pop("", 0), counts
 
@@ -85,6 +97,9 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     worth = F.lit(False)
     for word in sorted(rarest):
         worth = worth | F.contains(lower, F.lit(word))
+    # Short words stand inside many others, so what is left has to hold one as a word.
+    inside = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
+    worth = worth & F.col(text).rlike(rf"(?i)(?<!{inside})(?:{'|'.join(sorted(rarest))})(?!{inside})")
     known = F.array(*[F.lit(w) for w in vocabulary()])
     hits = F.filter(F.transform("_words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: F.array_contains(known, h["w"]))
     postings = F.map_from_entries(F.transform(F.array_distinct(F.transform("_hits", lambda h: h["w"])), lambda w: F.struct(w, F.transform(F.filter("_hits", lambda h: h["w"] == w), lambda h: h["i"]))))
@@ -97,8 +112,10 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     coverage = lambda p: F.when(p["t"]["base"], F.lit(0.5)).otherwise(F.array_max(F.transform(p["places"], lambda at: weight(p["t"], at))) / whole(p["t"]))
     found = F.transform("_placed", lambda p: F.struct(p["t"]["label"].alias("label"), p["t"]["base"].alias("base"), p["places"].alias("places"), F.least(F.lit(1.0), coverage(p)).alias("coverage")))
     none = F.lit(None)
-    out = docs.withColumns({"_words": words(F.col(text)), "_worth": F.coalesce(worth, F.lit(False))})
-    out = out.withColumn("n_words", F.size("_words").cast("long")).withColumn("_hits", F.when(F.col("_worth"), hits).otherwise(none))
+    content = F.coalesce(F.col(text), F.lit(""))
+    out = docs.withColumns({"_worth": F.coalesce(worth, F.lit(False)), "n_words": n_words(content).cast("long")})
+    out = out.withColumn("_words", F.when(F.col("_worth"), words(content)).otherwise(none))
+    out = out.withColumn("_hits", F.when(F.col("_worth"), hits).otherwise(none))
     out = out.withColumn("_postings", F.when(F.col("_worth"), postings).otherwise(none))
     out = out.withColumn("_placed", F.when(F.col("_worth"), placed).otherwise(none)).withColumn("found", F.when(F.col("_worth"), found).otherwise(none))
     empty = F.array().cast("array<struct<label:string,base:boolean,places:array<int>,coverage:double>>")
