@@ -302,15 +302,21 @@ class _Join:
 
     def mixed_nodes(self, grouped: DataFrame) -> DataFrame:
         """Members that may link to any other, of nodes that hold more than one component of them: node, tree, id, label, m, shingles."""
-        can = self.bounds.where(F.col("shared") * 100 >= F.col("n") * self.percent).groupBy("id").agg(F.max("n").alias("n"))
+        can = self.bounds.groupBy("id").agg(F.max("n").alias("n"), F.max("shared").alias("shared"), F.max(F.col("shared") / F.col("n")).alias("part"))
+        can = can.where(F.col("part") * 100 >= self.percent - 1e-6).drop("part")
         members = grouped.select("node", "tree", "id").join(can, "id")
         if self.labels is None:
             members = members.withColumn("label", F.col("id"))
         else:
             members = members.join(self.labels.toDF("id", "known"), "id", "left").withColumn("label", F.coalesce("known", "id")).drop("known")
-        members = materialise(members.select("node", "tree", "id", "label", "n"), "members")
+        members = materialise(members.select("node", "tree", "id", "label", "n", "shared"), "members")
+        if self.once:
+            # The other set has as many shingles as the node's smallest at least, which leaves less to share.
+            least = members.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n").alias("least")).where("lo < hi").select("node", "least")
+            union = F.col("n") + F.greatest("least", "shared") - F.col("shared")
+            members = materialise(members.join(least, "node").where(F.col("shared") * 100 >= union * self.percent), "members")
         mixed = members.groupBy("node").agg(F.count("*").alias("m"), F.sum("n").alias("shingles"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-        return materialise(members.drop("n").join(mixed.select("node", "m", "shingles"), "node"), "mixed")
+        return materialise(members.select("node", "tree", "id", "label").join(mixed.select("node", "m", "shingles"), "node"), "mixed")
 
     def across(self, members: DataFrame) -> DataFrame:
         """Pairs of one node that are in different components and may be similar enough."""
