@@ -278,7 +278,8 @@ class _Join:
             tried = tried.unionAll(left)
         small_node = (F.col("m") <= SMALL_NODE) & (F.col("shingles") <= SMALL_NODE_SHINGLES)
         for depth in range(LEVELS, MAX_DEPTH + 1):
-            mixed = self.mixed_nodes(mixed).where("m > 2")
+            # Nodes of two stay: others may have left, so that their pair needn't have been a star's.
+            mixed = self.mixed_nodes(mixed)
             if mixed.isEmpty():
                 break
             last = depth == MAX_DEPTH

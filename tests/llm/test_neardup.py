@@ -70,6 +70,14 @@ def test_chains_repeated_ids_and_deep_branching(spark, monkeypatch):
     assert run(spark, docs, 4) == brute(docs, 4)
 
 
+def test_one_true_pair_in_a_loose_group(spark):
+    common = " ".join(f"t{i}" for i in range(200))
+    docs = [(i, " ".join([common, "both" if i > 28 else f"own{i}", *[f"own{i}_{j}" for j in range(24)]])) for i in range(31)]
+    expected = brute(docs, 5)
+    assert [r[0] for r in expected if not r[3]] == [30]
+    assert run(spark, docs, 5) == expected
+
+
 def test_null_ids_and_empty_table(spark):
     d = spark.createDataFrame([(None, "a b c d e"), (None, "x y z z y"), (3, "a b c d e")], "doc_id long, text string")
     rows = sorted((r.n_shingles, r.doc_id or -1, r.component_id or -1, r.kept) for r in N.near_duplicates(d, k=4).collect())
