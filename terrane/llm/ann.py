@@ -14,7 +14,7 @@ radius is so wide for a data set that the probed buckets hold most rows, the che
 Scale: the rotation and radius are fitted on a bounded sample (``SAMPLE_ROWS`` rows by hash). The index is built per
 partition, over every row. Queries go out in blocks of at most ``QUERY_BLOCK`` rows, which bounds the broadcast; each
 block passes over the partitions, which return their own nearest only. What is shuffled is k rows per query and
-partition.
+batch. Queries that fall short are collected per block, so they are bounded as well.
 
 Defined cases: vectors that are null, zero or hold null or non-finite components, or whose length isn't the
 commonest one of the sample, take no part; rows that share a vec_id are one query and never their own neighbours,
@@ -135,7 +135,7 @@ def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _searcher(shipped, k: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, query_ids, queries = pickle.loads(shipped.value)
+        coder, radius, query_ids, queries = pickle.loads(shipped.value)
         query_codes = coder.codes(queries)
         query_units = queries / np.linalg.norm(queries, axis=1, keepdims=True)
         for batch in batches:
@@ -145,7 +145,7 @@ def _searcher(shipped, k: int):
             ids = np.array(batch.column(0).take(pa.array(rows)))
             once = len(np.unique(ids)) == len(ids)
             units = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-            index = MultiIndex(coder.codes(vectors), coder.radius)
+            index = MultiIndex(coder.codes(vectors), radius)
             out_q, out_v, out_s = [], [], []
             for q, code, unit in zip(query_ids.tolist(), query_codes, query_units, strict=True):
                 found = index.retrieve(code)
@@ -166,6 +166,15 @@ def _searcher(shipped, k: int):
     return search
 
 
+def _nearest(rows: DataFrame, coder: Coder, radius: int, ids: np.ndarray, vectors: np.ndarray, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score: the ``k`` nearest of each query whose codes are within ``radius``."""
+    shipped = rows.sparkSession.sparkContext.broadcast(pickle.dumps((coder, radius, ids, vectors)))
+    found = rows.mapInArrow(_searcher(shipped, k), "query_id long, vec_id long, score double")
+    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(Wd.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    return once.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
 def search(table: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found for every row that meets ``is_query`` (a Column)."""
     spark = table.sparkSession
@@ -193,12 +202,17 @@ def search(table: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", vecto
         where, vectors = _matrix(column if isinstance(column, pa.Array) else column.chunk(0), dim)
         if not len(where):
             continue
-        ids = np.array(got.column("vec_id"))[where]
-        shipped = spark.sparkContext.broadcast(pickle.dumps((coder, ids, vectors)))
-        hits = rows.mapInArrow(_searcher(shipped, k), "query_id long, vec_id long, score double")
-        found = hits if found is None else found.unionAll(hits)
-    if found is None:
-        return spark.createDataFrame([], empty)
-    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Wd.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return once.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        ids, radius = np.array(got.column("vec_id"))[where], coder.radius
+        while len(ids):
+            hits = materialise(_nearest(rows, coder, radius, ids, vectors, k), "hits")
+            if radius >= coder.bits:
+                short = np.zeros(len(ids), bool)
+            else:
+                full = hits.groupBy("query_id").count().where(F.col("count") >= k).select("query_id").toArrow().column("query_id")
+                short = ~np.isin(ids, np.array(full, dtype=np.int64))
+                if short.any():
+                    again = spark.createDataFrame(pa.table({"query_id": ids[short]}))
+                    hits = hits.join(F.broadcast(again), "query_id", "left_anti")
+            found = hits if found is None else found.unionAll(hits)
+            ids, vectors, radius = ids[short], vectors[short], min(coder.bits, max(2 * radius, SUBSTRING))
+    return spark.createDataFrame([], empty) if found is None else found.select("query_id", "rank", "vec_id", "score")

@@ -154,6 +154,17 @@ def test_neighbours(spark):
     assert sorted((r.query_id, r.vec_id) for r in ann.search(few, F.col("vec_id") == 0).collect()) == [(0, 1), (0, 2)]
 
 
+def test_an_isolated_query_has_all_its_neighbours(spark):
+    rnd = np.random.default_rng(5)
+    centres = rnd.normal(size=(8, 16))
+    rows = [(i, [float(x) for x in np.float32(centres[i % 8] + 1e-4 * rnd.normal(size=16))]) for i in range(400)]
+    rows.append((1000, [float(x) for x in np.float32(-centres.sum(axis=0) + rnd.normal(size=16))]))
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = [(r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in ann.search(d, F.col("vec_id") % 200 == 0).collect()]
+    assert sorted(g for g in got if g[0] == 1000) == exact(rows, [1000], 5)
+    assert sorted(g[:2] for g in got) == [(q, r) for q in (0, 200, 1000) for r in range(1, 6)]
+
+
 def test_probing_retrieves_all_codes_in_the_radius():
     rnd = np.random.default_rng(4)
     codes = rnd.integers(0, 1 << 63, (3000, 4), dtype=np.uint64)
