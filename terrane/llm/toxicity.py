@@ -17,8 +17,9 @@ expressions and over the whole text, turned into a probability by a logistic cur
 sample (``CALIBRATION_ROWS``) of a quarter of the training rows, seen through a model of the other three quarters.
 
 Scale: counts are taken over all labelled training rows; each batch ships one row per distinct eight-byte beginning.
-The table that goes to the executors has at most ``MODEL_ROWS`` entries: while it has more, the rarest are merged into
-their four-byte prefix. Scoring is one pass without a shuffle.
+The model holds every one of these, however rare: the driver fetches them in parts of about ``MODEL_ROWS`` rows and the
+whole goes to the executors, so that its memory grows with the distinct beginnings. Scoring is one pass without a
+shuffle.
 
 Defined cases: a null or wordless text scores the curve's value without evidence; labels that are null don't count;
 of contradicting labels the toxic one counts; without labelled rows of both classes every score is 0; repeated rows
@@ -189,16 +190,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, la
     return rows.join(F.broadcast(marks) if small(marks, BROADCAST_ROWS) else marks, "doc_id")
 
 
-def bounded_counts(counts: DataFrame, most: int) -> DataFrame:
-    """The counts with the rarest beginnings merged into their four-byte prefix until at most ``most`` rows are left."""
-    least, out = 1, counts
-    while out.count() > most:
-        least *= 2
-        if least > 1 << 20:
-            raise ValueError(f"{most} rows are too few for a model of this alphabet")
-        short = F.when(F.col("toxic") + F.col("ordinary") >= least, F.col("code")).otherwise(F.shiftleft(F.shiftrightunsigned("code", 32), 32))
-        out = counts.select(short.alias("code"), *COUNTS).groupBy("code").agg(*[F.sum(c).alias(c) for c in COUNTS])
-    return out
+def fetched(counts: DataFrame, part_rows: int) -> pa.Table:
+    """All counts, in parts of about ``part_rows`` rows, so that the JVM doesn't hold the whole at once."""
+    parts = max(1, -(-counts.count() // part_rows))
+    return pa.concat_tables([counts.where(F.pmod(F.xxhash64("code"), F.lit(parts)) == i).toArrow() for i in range(parts)])
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple[Model, np.ndarray] | None:
@@ -206,7 +201,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     train = training_rows(docs, labels, doc_id, text, label).withColumn("aside", F.when(F.pmod(F.xxhash64("doc_id"), F.lit(ASIDE)) == 0, 1).otherwise(0))
     counts = train.select("text", "toxic", "aside").mapInArrow(_counter, "code long, toxic long, ordinary long, toxic_aside long, ordinary_aside long")
     counts = materialise(counts.groupBy("code").agg(*[F.sum(c).alias(c) for c in COUNTS]), "counts")
-    table = bounded_counts(counts, MODEL_ROWS).toArrow()
+    table = fetched(counts, MODEL_ROWS)
     codes = np.array(table.column("code"), dtype=np.int64).view(np.uint64)
     order = np.argsort(codes)
     codes = codes[order]

@@ -125,3 +125,13 @@ def test_toxicity_defined_cases(spark, monkeypatch):
     assert len(toxicity.report(docs, labels).collect()) == len(texts)
     assert {r.score for r in toxicity.report(docs, labels.where("toxic = 0")).collect()} == {0.0}
     assert toxicity.report(docs.limit(0), labels).collect() == []
+
+
+def test_no_rare_expression_is_merged_away(spark, monkeypatch):
+    rows = [(i, f"rare{i % 20:02d} text", int(i % 20 < 10)) for i in range(200)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    whole = sorted(map(tuple, toxicity.report(docs, labels).collect()))
+    assert all(predicted == rows[i][2] for i, _, _, predicted in whole)
+    monkeypatch.setattr(toxicity, "MODEL_ROWS", 8)
+    assert sorted(map(tuple, toxicity.report(docs, labels).collect())) == whole
