@@ -13,8 +13,10 @@ The root and the first levels always hold too much, so three levels are taken at
 * small nodes in which more than one component is left are compared exhaustively: pair by pair up to ``TINY_NODE``
   members, and up to ``SMALL_NODE`` (and ``SMALL_NODE_SHINGLES``) in one task by a product of membership matrices, which
   returns no more links than span the node;
-* larger ones with more than one component branch again, to ``MAX_DEPTH`` levels, and are then compared across
-  components without any cap.
+* larger ones with more than one component branch again, to ``MAX_DEPTH`` levels. What is left then is compared across
+  components by an exact prefix filter: of two sets that are similar enough, the rarest shingles of either (all but
+  the share that they must have in common) hold a common one, so members meet by their rare shingles and never all
+  with all.
 
 Before that, each member of such a node is bounded by the number of its shingles that stand in any other member of
 one: no pair has more in common than the smaller of the two bounds. In a group of loose copies most pairs are ruled
@@ -24,14 +26,16 @@ Every link is confirmed on the full sets (100 * intersection >= 80 * union). Onl
 pairs that are already connected aren't confirmed again, which keeps large groups of near copies linear.
 
 Scale and skew: equal sets collapse to one class by a 128-bit fingerprint first, so thousands of exact copies cost one
-row. Node statistics are partial aggregates; rows meet their node's pivot by a join that Spark can split. Sets are
+row. Node statistics are partial aggregates; rows meet their node's by a broadcast if the nodes are fewer than a checked
+bound, which leaves the rows where they are, and by a join that Spark can split otherwise. Sets are
 recomputed from the texts of documents that have a candidate only. The embedding, candidates, links and labels are
 tables in the shared folder.
 
 Defined cases: a null, empty or wordless text has no shingles and stays alone; fewer words than a shingle make one
-shingle of the whole text; rows that share a doc_id count as one document with all their links; rows without a doc_id
-belong to the class of an equal set (if that has an id) but link nothing; ``kept`` is never null; extra columns are
-ignored.
+shingle of the whole text; very long texts are taken whole, one at a time; rows that share a doc_id count as one
+document with all their links; repeated rows each get their row; rows without a doc_id belong to the class of an equal
+set (if that has an id) but link nothing; of a group the smallest doc_id is kept, which leaves no ties; ``kept`` is
+never null; an empty table has no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,11 +47,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as Wd
 from pyspark.sql import functions as F
 
 from . import words as W
 from .components import connected_components
-from .scratch import materialise, only_columns, small
+from .scratch import fresh, materialise, only_columns, small
 
 SHINGLE = 5
 SIMILARITY_PERCENT = 80
@@ -79,7 +84,7 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
         if row >= k:
             yield np.unique(rolled[first : first + row - k + 1])
         elif row:
-            yield W.mix((words[first : first + row] * _FACTORS[:row]).sum(keepdims=True) + np.uint64(row) * _FACTORS[k + 1])
+            yield W.mix((words[first : first + row] * _FACTORS[:row]).sum(keepdims=True) + _FACTORS[k + 1 : k + 2] * np.uint64(row))
         else:
             yield np.zeros(0, np.uint64)
 
@@ -187,9 +192,15 @@ def _node_links(percent: int):
     return links
 
 
+def near(table: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it has few rows."""
+    return F.broadcast(table) if small(table, BROADCAST_ROWS) else table
+
+
 class _Join:
-    def __init__(self, docs: DataFrame, classes: DataFrame, doc_id: str, text: str, k: int, percent: int, once: bool) -> None:
-        self.docs, self.classes, self.doc_id, self.text, self.k, self.percent, self.once = docs, classes, doc_id, text, k, percent, once
+    def __init__(self, docs: DataFrame, classes: DataFrame, doc_id: str, text: str, k: int, percent: int, shared: DataFrame | None) -> None:
+        """``shared``: the ids that several classes have, None without any."""
+        self.docs, self.classes, self.doc_id, self.text, self.k, self.percent, self.shared = docs, classes, doc_id, text, k, percent, shared
         self.spark = docs.sparkSession
         self.bounds = classes.select("id", "n", F.col("n").alias("shared"))
         self.labels: DataFrame | None = None
@@ -207,7 +218,7 @@ class _Join:
         narrow = only_columns(self.docs, self.doc_id, self.text).select(F.col(self.doc_id).cast("long").alias("id"), F.col(self.text).alias("text"))
         chosen = narrow.join(F.broadcast(ids) if small(ids, BROADCAST_ROWS) else ids, "id", "left_semi")
         sets = chosen.mapInArrow(_sets_of(self.k), "id long, members array<long>")
-        return materialise(sets if self.once else sets.distinct(), "sets")
+        return materialise(sets if self.shared is None else sets.distinct(), "sets")
 
     def possible(self, pairs: DataFrame) -> DataFrame:
         """Pairs that may be similar enough by their sizes and by what each shares with any other candidate."""
@@ -221,14 +232,15 @@ class _Join:
     def bound(self, sets: DataFrame, mixed: DataFrame) -> None:
         """For the members of mixed nodes, count the shingles that stand in another member of a mixed node.
 
-        No two of them have more in common than either's count, which rules most pairs out without their sets.
+        No two of them have more in common than either's count, which rules most pairs out without their sets. Ids of
+        several sets keep the sets' sizes as their bound.
         """
-        if not self.once:
-            return
         ids = mixed.select("id").distinct()
         shingles = sets.join(ids, "id", "left_semi").select("id", F.explode("members").alias("shingle"))
         lonely = shingles.groupBy("shingle").agg(F.count("*").alias("m"), F.min("id").alias("id")).where("m = 1")
         lonely = lonely.groupBy("id").agg(F.count("*").alias("lonely"))
+        if self.shared is not None:
+            lonely = lonely.join(self.shared, "id", "left_anti")
         counted = self.classes.select("id", "n").join(ids, "id", "left_semi").join(lonely, "id", "left")
         self.bounds = materialise(counted.select("id", "n", (F.col("n") - F.coalesce("lonely", F.lit(0))).alias("shared")), "bounds")
 
@@ -256,8 +268,8 @@ class _Join:
 
     def grouped(self, rows: DataFrame) -> DataFrame:
         """The members of nodes that hold more than one: node, tree, id, m members, a the least of them."""
-        nodes = rows.groupBy("node").agg(F.count("*").alias("m"), F.min("id").alias("a")).where("m > 1")
-        return materialise(rows.join(nodes, "node"), "grouped")
+        nodes = materialise(rows.groupBy("node").agg(F.count("*").alias("m"), F.min("id").alias("a")).where("m > 1"), "nodes")
+        return materialise(rows.join(near(nodes), "node"), "grouped")
 
     def stars(self, grouped: DataFrame) -> DataFrame:
         return grouped.where("id <> a").select("a", F.col("id").alias("b")).distinct()
@@ -284,7 +296,8 @@ class _Join:
                 break
             last = depth == MAX_DEPTH
             by_pairs = F.lit(True) if last else F.col("m") <= TINY_NODE
-            left = materialise(self.across(mixed.where(by_pairs)).join(tried, ["a", "b"], "left_anti"), "pairs")
+            found = self.sharing(mixed.select("id", "label").distinct(), sets) if last else self.across(mixed.where(by_pairs))
+            left = materialise(found.join(tried, ["a", "b"], "left_anti"), "pairs")
             members = mixed.where(~by_pairs & small_node).select("node", "id", "label").join(sets, "id")
             inside = members.groupBy("node").applyInPandas(_node_links(self.percent), "a long, b long").distinct()
             self.take(self.confirmed(left, sets).unionAll(inside))
@@ -303,21 +316,47 @@ class _Join:
 
     def mixed_nodes(self, grouped: DataFrame) -> DataFrame:
         """Members that may link to any other, of nodes that hold more than one component of them: node, tree, id, label, m, shingles."""
-        can = self.bounds.groupBy("id").agg(F.max("n").alias("n"), F.max("shared").alias("shared"), F.max(F.col("shared") / F.col("n")).alias("part"))
+        can = self.bounds.groupBy("id").agg(F.min("n").alias("fewest"), F.max("n").alias("n"), F.max("shared").alias("shared"), F.max(F.col("shared") / F.col("n")).alias("part"))
         can = can.where(F.col("part") * 100 >= self.percent - 1e-6).drop("part")
         members = grouped.select("node", "tree", "id").join(can, "id")
         if self.labels is None:
             members = members.withColumn("label", F.col("id"))
         else:
             members = members.join(self.labels.toDF("id", "known"), "id", "left").withColumn("label", F.coalesce("known", "id")).drop("known")
-        members = materialise(members.select("node", "tree", "id", "label", "n", "shared"), "members")
-        if self.once:
-            # The other set has as many shingles as the node's smallest at least, which leaves less to share.
-            least = members.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n").alias("least")).where("lo < hi").select("node", "least")
-            union = F.col("n") + F.greatest("least", "shared") - F.col("shared")
-            members = materialise(members.join(least, "node").where(F.col("shared") * 100 >= union * self.percent), "members")
+        members = materialise(members.select("node", "tree", "id", "label", "fewest", "n", "shared"), "members")
+        # The other set has as many shingles as the node's smallest at least, which leaves less to share.
+        least = members.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("fewest").alias("least")).where("lo < hi").select("node", "least")
+        union = F.col("n") + F.greatest("least", "shared") - F.col("shared")
+        fits = F.col("shared") * 100 >= union * self.percent
+        members = members.join(near(materialise(least, "least")), "node")
+        if self.shared is not None:
+            # An id of several sets stays: its columns speak of different ones.
+            members = members.join(near(self.shared.withColumn("several", F.lit(True))), "id", "left")
+            fits = fits | F.col("several").isNotNull()
+        members = materialise(members.where(fits).select("node", "tree", "id", "label", "n"), "members")
         mixed = members.groupBy("node").agg(F.count("*").alias("m"), F.sum("n").alias("shingles"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-        return materialise(members.select("node", "tree", "id", "label").join(mixed.select("node", "m", "shingles"), "node"), "mixed")
+        mixed = materialise(mixed.select("node", "m", "shingles"), "nodes")
+        return materialise(members.select("node", "tree", "id", "label").join(near(mixed), "node"), "mixed")
+
+    def sharing(self, members: DataFrame, sets: DataFrame) -> DataFrame:
+        """Pairs of ``(id, label)`` in different components that share one of their rare shingles and may be similar enough.
+
+        Of a set of n shingles, ordered by how many members hold each, the first n - ceil(percent n) + 1 are looked at:
+        a set with so much in common with it holds one of these among its own first.
+        """
+        one = sets.join(members.select("id"), "id", "left_semi").select("id", F.monotonically_increasing_id().alias("part"), "members")
+        one = materialise(one.withColumn("size", F.size("members").cast("long")), "left")
+        shingles = one.select("id", "part", "size", F.explode("members").alias("shingle"))
+        often = shingles.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1")
+        known = shingles.join(often, "shingle")
+        # Shingles that stand nowhere else come first in the order and join nothing.
+        order = F.col("size") - F.count("*").over(Wd.partitionBy("id", "part")) + F.row_number().over(Wd.partitionBy("id", "part").orderBy("often", "shingle"))
+        first = F.col("size") - F.ceil(F.col("size") * self.percent / 100 - 1e-9) + 1
+        rare = known.withColumn("order", order).where(F.col("order") <= first)
+        rare = materialise(rare.select("id", "size", "shingle").join(members, "id"), "rare")
+        a, b = (rare.select("shingle", *[F.col(c).alias(f"{c}_{d}") for c in ("label", "size")], F.col("id").alias(d)) for d in "ab")
+        fits = F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * self.percent
+        return self.possible(a.join(b, "shingle").where((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & fits).select("a", "b").distinct())
 
     def across(self, members: DataFrame) -> DataFrame:
         """Pairs of one node that are in different components and may be similar enough."""
@@ -329,21 +368,20 @@ class _Join:
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = SIMILARITY_PERCENT, trees: int = TREES) -> DataFrame:
     """Per document row: doc_id, n_shingles, component_id (smallest doc_id reachable), kept."""
     rows = materialise(embed(docs, doc_id, text, k), "embedded")
-    once = rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
     classes = rows.where("print is not null").groupBy("print").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
     classes = materialise(classes, "classes")
     with_id = classes.where("id is not null")
-    if not once:
-        # Classes that share an id are one document; each keeps its own place in the trees.
-        shared = rows.where("print is not null and doc_id is not null").select("doc_id", "print").distinct().join(with_id.select("print", "id"), "print")
-        same_document = shared.select(F.col("doc_id").alias("a"), F.col("id").alias("b")).where("a <> b")
-    else:
-        same_document = None
-    join = _Join(docs, with_id, doc_id, text, k, percent, once)
-    if same_document is not None:
-        same_document = materialise(same_document, "links")
-        if not same_document.isEmpty():
-            join.links.append(same_document)
+    # Classes that share an id are one document; each keeps its own place in the trees.
+    repeated = materialise(rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    shared, same_document = None, None
+    if not repeated.isEmpty():
+        several = with_id.groupBy("id").count().where("count > 1").select("id")
+        shared = materialise(several, "shared")
+        again = rows.where("print is not null").join(near(repeated), "doc_id").select("doc_id", "print").distinct().join(with_id.select("print", "id"), "print")
+        same_document = materialise(again.select(F.col("doc_id").alias("a"), F.col("id").alias("b")).where("a <> b"), "links")
+    join = _Join(docs, with_id, doc_id, text, k, percent, shared)
+    if same_document is not None and not same_document.isEmpty():
+        join.links.append(same_document)
     labels = join.run(trees)
     if labels is None and join.links:
         labels = connected_components(join.links[0])
@@ -358,21 +396,30 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **more) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates, the one with the smallest doc_id.
 
-    Of repeated rows of that document one stays. Of rows without a doc_id those stay that copy no other row's text.
+    Of that document's rows one stays for each different text, the first of the rows as JSON. Of rows without a doc_id
+    those stay that copy no other row's text, one for each text.
     """
     found = materialise(near_duplicates(docs, doc_id, text, **more), "found")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    digest, rank = fresh(docs, "digest", "rank")
+    content = F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256)
+
+    def once(rows: DataFrame, *by: str) -> DataFrame:
+        order = Wd.partitionBy(*[F.col(f"`{c}`") for c in by]).orderBy(F.to_json(F.struct(*columns)))
+        return rows.withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1).drop(rank)
+
     gone = found.where("doc_id is not null and not kept").select(F.col("doc_id").alias(doc_id)).distinct()
     named = docs.where(F.col(f"`{doc_id}`").isNotNull())
-    kept = named.join(F.broadcast(gone) if small(gone, BROADCAST_ROWS) else gone, doc_id, "left_anti")
+    kept = named.join(near(materialise(gone, "gone")), doc_id, "left_anti")
     twice = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(doc_id))
     twice = materialise(twice, "repeated")
     if not twice.isEmpty():
-        kept = kept.join(twice, doc_id, "left_anti").unionByName(kept.join(twice, doc_id, "left_semi").dropDuplicates([doc_id]))
+        again = once(kept.join(near(twice), doc_id, "left_semi").withColumn(digest, content), doc_id, digest).drop(digest)
+        kept = kept.join(near(twice), doc_id, "left_anti").unionByName(again)
     if not found.where("doc_id is null").isEmpty():
-        digest = F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256)
-        alone = docs.where(F.col(f"`{doc_id}`").isNull()).withColumn("_digest", digest).dropDuplicates(["_digest"])
-        kept = kept.unionByName(alone.join(named.select(digest.alias("_digest")), "_digest", "left_anti").drop("_digest"))
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+        alone = once(docs.where(F.col(f"`{doc_id}`").isNull()).withColumn(digest, content), digest)
+        kept = kept.unionByName(alone.join(named.select(content.alias(digest)), digest, "left_anti").drop(digest))
+    return kept.select(*columns)
 
 
 def oracle_sql(k: int) -> str:

@@ -83,6 +83,7 @@ def test_null_ids_and_empty_table(spark):
     rows = sorted((r.n_shingles, r.doc_id or -1, r.component_id or -1, r.kept) for r in N.near_duplicates(d, k=4).collect())
     assert rows == [(2, -1, -1, False), (2, -1, 3, False), (2, 3, 3, True)]
     assert run(spark, [], 4) == []
+    assert N.keep_one(d.limit(0)).collect() == []
 
 
 def test_components(spark):
@@ -91,6 +92,32 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(41)}, 90: 90, 95: 90, 100: 90}
 
 
+def test_sorted_and_shuffled_chains_in_few_rounds(spark):
+    ids = list(range(1000))
+    random.Random(5).shuffle(ids)
+    for names in (range(1000), ids):
+        rounds = []
+        edges = spark.createDataFrame([(names[i], names[i + 1]) for i in range(999)], "a long, b long")
+        got = connected_components(edges, rounds=rounds).collect()
+        assert {r.label for r in got} == {0} and len(got) == 1000 and sum(rounds) <= 25
+
+
+def test_last_level_by_rare_shingles(spark, monkeypatch):
+    monkeypatch.setattr(N, "TINY_NODE", 2)
+    monkeypatch.setattr(N, "SMALL_NODE", 2)
+    monkeypatch.setattr(N, "MAX_DEPTH", N.LEVELS)
+    docs = corpus(6, groups=6) + [(100, "second text under the first id with some more words in it")]
+    assert run(spark, docs, 4) == brute(docs, 4)
+
+
+def test_keep_one_keeps_differing_texts(spark):
+    rows = [(1, "a b c d e f g", 0, "x"), (1, "a b c d e f g", 0, "y"), (1, "other words stand in this one", 0, "z"), (2, "A b c d e f g", 0, "x"), (None, "a b c d e f g", 0, "x"), (None, "alone by itself", 0, "x"), (None, "alone by itself", 0, "w"), (3, None, 0, "x"), (4, None, 0, "x")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, digest int, rank string")
+    for n in (1, 4):
+        got = sorted((tuple(r) for r in N.keep_one(d.repartition(n)).collect()), key=repr)
+        assert got == sorted([rows[0], rows[2], rows[6], rows[7], rows[8]], key=repr)
+
+
 def test_recall_at_the_threshold():
     import numpy as np
 
