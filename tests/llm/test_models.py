@@ -56,54 +56,100 @@ def test_page_query(spark):
     assert langid.visible_text(F.lit("x")) is not None
 
 
-def brute_evidence(words, toxic):
-    """Log likelihood ratios by the definition, from (word, is toxic) tokens."""
-    cut = lambda w: w.encode()[:8]
-    counts = [{}, {}]
-    kinds = {cut(w) for w in words}
-    for w, t in zip(words, toxic, strict=True):
-        counts[t][cut(w)] = counts[t].get(cut(w), 0) + 1
-    end = lambda b: b + b"\0" if len(b) < 8 else b
-    kinds = {end(k) for k in kinds}
-    n = [lambda p, c=c: sum(v for k, v in c.items() if end(k).startswith(p)) for c in counts]
-
-    def follow(p):
-        return {k[: len(p) + 1] for k in kinds if k.startswith(p)}
-
-    def ratio(word):
-        total, word = 0.0, end(cut(word))
-        for d in range(len(word)):
-            p, q = word[:d], word[: d + 1]
-            shared = sum(k.startswith(q) for k in kinds) / max(1, sum(k.startswith(p) for k in kinds))
-            pooled = sum(c(p) for c in n)
-            logs = []
-            for c in n:
-                mass = sum(max(c(x) - toxicity.DISCOUNT, 0) for x in follow(p))
-                free = sum(min(n[0](x) + n[1](x), toxicity.DISCOUNT) for x in follow(p)) / pooled if pooled else 1.0
-                if not shared:
-                    logs.append(math.log(free) if mass else 0.0)
-                else:
-                    logs.append(math.log((1 - free) * max(c(q) - toxicity.DISCOUNT, 0) / mass + free * shared if mass else shared))
-            total += logs[1] - logs[0]
-            if not shared:
-                break
+def brute_units(text):
+    import re
+
+    fold = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    found = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", fold)
+    return [w[i : i + toxicity.UNIT] for w in found for i in range(0, len(w), toxicity.UNIT)]
+
+
+def brute_contexts(unit):
+    """For each character, its end included: the long and the short context with the character."""
+    x = unit + "\0"
+    for d in range(len(x)):
+        long = (min(d, toxicity.ORDER), x[max(0, d - toxicity.ORDER + 1) : d])
+        yield x[d], long, ("short", x[d - toxicity.SHORT + 1 : d]) if d >= toxicity.SHORT - 1 else None
+
+
+def brute_ratio(rows):
+    """The log likelihood ratio of a unit by the definition, from (text, is toxic) rows."""
+    count, kinds = {}, {}
+    for text, toxic in rows:
+        for u in brute_units(text):
+            count.setdefault(u, [0, 0])[toxic] += 1
+    grams = {}
+    for u, n in count.items():
+        for x, long, short in brute_contexts(u):
+            for c in (long, short):
+                if c is not None:
+                    g = grams.setdefault(c, {}).setdefault(x, [0, 0])
+                    g[0], g[1] = g[0] + n[0], g[1] + n[1]
+                    kinds[c, x] = kinds.get((c, x), 0) + 1
+
+    def step(c, x):
+        if c not in grams:
+            return 0.0, False
+        follow = grams[c]
+        free = sum(min(sum(n), toxicity.DISCOUNT) for n in follow.values()) / sum(sum(n) for n in follow.values())
+        mass = [sum(max(n[t] - toxicity.DISCOUNT, 0) for n in follow.values()) for t in (0, 1)]
+        if x not in follow:
+            weight = [math.log(free) if m else 0.0 for m in mass]
+            return weight[1] - weight[0], False
+        shared = kinds[c, x] / sum(kinds[c, y] for y in follow)
+        p = [(1 - free) * max(follow[x][t] - toxicity.DISCOUNT, 0) / mass[t] + free * shared if mass[t] else shared for t in (0, 1)]
+        return math.log(p[1]) - math.log(p[0]), True
+
+    def ratio(u):
+        total = 0.0
+        for x, long, short in brute_contexts(u):
+            value, known = step(long, x)
+            total += value
+            if not known and short is not None:
+                total += step(short, x)[0]
         return total
 
     return ratio
 
 
-def test_kneser_ney_by_definition():
+def brute_features(text, ratio):
+    each = [ratio(u) for u in brute_units(text)]
+    top = sorted(each, reverse=True)
+    return [top[min(k, len(top)) - 1] for k in toxicity.TOP] + [sum(each) / len(each)] if each else [0.0] * (len(toxicity.TOP) + 1)
+
+
+def test_score_by_definition(spark, monkeypatch):
     rnd = random.Random(4)
-    words = ["".join(rnd.choice("abé") for _ in range(rnd.randint(1, 10))) for _ in range(150)]
-    toxic = [int(w.startswith("ab") and rnd.random() < 0.8) for w in words]
-    codes, _ = toxicity.beginnings(pa.array(words))
-    distinct, back = np.unique(codes, return_inverse=True)
-    bad = np.bincount(back, toxic).astype(int)
-    model = toxicity.Model(distinct, bad, np.bincount(back) - bad)
-    ratio = brute_evidence(words, toxic)
-    probe = words + ["zz", "abz", "abababababab", "a", "b" * 9]
-    got = model.of(toxicity.beginnings(pa.array(probe))[0])
-    assert np.allclose(got, [ratio(w) for w in probe])
+    word = lambda: "".join(rnd.choice("abé") for _ in range(rnd.randint(1, 22)))
+    vocab = [word() for _ in range(60)]
+    rows = []
+    for i in range(160):
+        toxic = i % 4 == 0
+        rows.append((i, " ".join(rnd.choice(vocab[:8] if toxic and rnd.random() < 0.3 else vocab[6:]) for _ in range(rnd.randint(1, 12))), int(toxic)))
+    probes = ["zz", "ab " + "b" * 40, vocab[0], vocab[0][:3] + "q", None, "", "-- !!", "你好世界" * 12, "scumlord1aaa", "SCUMLORD1bbb"]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(1000 + i, t) for i, t in enumerate(probes)], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    aside = {r.doc_id for r in docs.where(toxicity.is_aside(F.col("doc_id"))).collect()}
+    train = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    judge = brute_ratio([(t, y) for i, t, y in train if i not in aside])
+    judged = [(t, y) for i, t, y in train if i in aside]
+    w = toxicity._logistic(np.array([brute_features(t, judge) for t, _ in judged]), np.array([float(y) for _, y in judged]))
+    ratio = brute_ratio([(t, y) for _, t, y in train])
+    expected = {i: 1 / (1 + math.exp(-(w[0] + np.dot(w[1:], brute_features(t, ratio))))) for i, t in [(i, t) for i, t, _ in rows] + [(1000 + i, t) for i, t in enumerate(probes)]}
+    for shard_rows in (toxicity.SHARD_ROWS, 500):
+        monkeypatch.setattr(toxicity, "SHARD_ROWS", shard_rows)
+        got = {r.doc_id: r.score for r in toxicity.report(docs, labels).collect()}
+        assert got.keys() == expected.keys() and max(abs(got[i] - expected[i]) for i in got) < 1e-4
+
+
+def test_whole_texts_count(spark):
+    bad = ["scumlord1aaa here", "你好世恶恶恶" + "人" * 30, "x" * 40 + "vile"]
+    good = ["scumlord1bbb here", "你好世界界界" + "人" * 30, "x" * 40 + "kind"]
+    rows = [(i, (bad if i % 2 else good)[i % 3]) for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    got = toxicity.report(docs, labels).collect()
+    assert all(r.predicted == r.doc_id % 2 for r in got)
 
 
 def test_toxicity_on_held_out_rows(spark):
@@ -112,26 +158,22 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
     test = [r for r in got if r.held_out]
     hit = sum(r.predicted and r.toxic for r in test)
-    assert hit >= 0.8 * sum(r.toxic for r in test) and hit >= 0.85 * sum(r.predicted for r in test)
+    assert hit >= 0.88 * sum(r.toxic for r in test) and hit >= 0.9 * sum(r.predicted for r in test)
 
 
-def test_toxicity_defined_cases(spark, monkeypatch):
+def test_toxicity_defined_cases(spark):
     texts = [(i, "scum text " * (i % 3 + 1) if i % 5 == 0 else "kind text") for i in range(60)] + [(None, "scum"), (100, None), (101, ""), (7, "kind text"), (102, "kind text " * 50_000)]
     docs = spark.createDataFrame([(*r, 1.0) for r in texts], "doc_id long, text string, score double")
     labels = spark.createDataFrame([(i, int(i % 5 == 0), 0) for i in range(60)] + [(None, 1, 0), (3, None, 0), (10, 0, 0)], "doc_id long, toxic int, text int")
     got = toxicity.report(docs, labels).collect()
     assert len(got) == len(texts) and all(r.predicted == int(r.doc_id is None or (r.doc_id < 60 and r.doc_id % 5 == 0)) for r in got if r.doc_id not in (100, 101))
-    monkeypatch.setattr(toxicity, "MODEL_ROWS", 3)
-    assert len(toxicity.report(docs, labels).collect()) == len(texts)
     assert {r.score for r in toxicity.report(docs, labels.where("toxic = 0")).collect()} == {0.0}
     assert toxicity.report(docs.limit(0), labels).collect() == []
 
 
-def test_no_rare_expression_is_merged_away(spark, monkeypatch):
-    rows = [(i, f"rare{i % 20:02d} text", int(i % 20 < 10)) for i in range(200)]
-    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
-    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
-    whole = sorted(map(tuple, toxicity.report(docs, labels).collect()))
-    assert all(predicted == rows[i][2] for i, _, _, predicted in whole)
-    monkeypatch.setattr(toxicity, "MODEL_ROWS", 8)
-    assert sorted(map(tuple, toxicity.report(docs, labels).collect())) == whole
+def test_samples_at_any_size():
+    from terrane.llm.scratch import threshold
+
+    for total in (1, 10**4, 10**8, 10**11, 10**15):
+        share = threshold(4000, total) / 2**63
+        assert abs(share - min(1, 4000 / total)) <= 1e-12 * share + 2**-62 and share > 0
