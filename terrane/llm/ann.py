@@ -2,54 +2,69 @@
 
 Vectors are rotated by a learned rotation (principal axes, then iterative quantisation: alternate between the signs
 and the orthogonal map that fits them best) and coded by their signs. Vectors of few dimensions are first lifted by
-several independent rotations, so that a code has ``BITS`` bits. Each code is cut into substrings, each of which is
-indexed. For a query, a code within Hamming distance r differs in at least one of m substrings by at most
-floor(r / m) bits, so probing the buckets within that distance of each of the query's substrings retrieves every code
-within the radius; these are checked whole, and the ones that pass are reranked by cosine of the original vectors in
-double precision.
+several independent rotations, so that a code has ``BITS`` bits. Each code is cut into m substrings, each of which is
+indexed. A code within Hamming distance r of a query's differs in at least one substring by at most floor(r / m) bits,
+so probing the buckets within that distance of each of the query's substrings retrieves every code within the radius;
+these are checked whole, and the ones that pass are reranked by cosine of the original vectors in double precision.
 
-The radius is learned on the sample: the one that holds ``TARGET`` of the sample queries' true neighbours. Where the
-radius is so wide for a data set that the probed buckets hold most rows, the check of whole codes does the work.
+The radius widens query by query:
 
-Scale: the rotation and radius are fitted on a bounded sample (``SAMPLE_ROWS`` rows by hash). The index is built per
-partition, over every row. Queries go out in blocks of at most ``QUERY_BLOCK`` rows, which bounds the broadcast; each
-block passes over the partitions, which return their own nearest only. What is shuffled is k rows per query and
-batch. Queries that fall short are collected per block, so they are bounded as well.
+* First the index is a table of (substring, value, vector), shuffled by substring and value; each query's probes of up
+  to ``WITHIN`` flipped bits join it. That covers a radius of m (WITHIN + 1) - 1. A query is finished if it found
+  enough and whatever is nearer than the last of these has its code inside that radius (its expected Hamming distance
+  and ``MARGIN`` standard deviations). Substrings follow the logarithm of the rows, so that buckets stay small.
+* Queries without neighbours so near would probe most buckets of any table, each row once per substring. They go out
+  in blocks, to indexes of up to ``INDEX_ROWS`` rows that stay where the rows are, which are probed within the radius
+  that holds ``TARGET`` of a sample's true neighbours. Those that find too few there are sent again with twice the
+  radius, up to all bits, which is exact.
+
+Scale: equal vectors are one row of the index with the smallest of their vec_ids, and each brings no more than
+k + 1 of them into a result; a vector that a third of all rows share costs one row. The rotation and radius are fitted on
+a bounded sample (``SAMPLE_ROWS`` vectors by hash); the index holds every row. A block is at most ``QUERY_BLOCK``
+queries; the driver holds and ships one at a time and takes it back once its results are written. What a block
+shuffles is k + 1 rows per query and index.
 
 Defined cases: vectors that are null, zero or hold null or non-finite components, or whose length isn't the
-commonest one of the sample, take no part; rows that share a vec_id are one query and never their own neighbours,
-and show up once among another's neighbours, with the best score; ties go to the smaller vec_id; an empty table has
-no rows; extra columns are ignored.
+commonest one (of those the smallest), take no part; rows that share a vec_id are one, with the least of their vectors
+that take part; ties go to the smaller vec_id; rows without vec_id take no part; vectors of any length up to memory; an
+empty table has no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as Wd
 from pyspark.sql import functions as F
 
-from .scratch import materialise, only_columns
+from .scratch import drawn, materialise, only_columns, opened, ship
 
 BITS = 256
-SUBSTRING = 16
 SAMPLE_ROWS = 4000
 SAMPLE_QUERIES = 200
 TARGET = 0.99
+WITHIN = 1
+MARGIN = 3.0
+INDEX_ROWS = 1 << 16
 QUERY_BLOCK = 8192
 ROUNDS = 20
 
 
+def units(vectors: np.ndarray) -> np.ndarray:
+    """Vectors of length 1; scaled by powers of two first, which is exact and keeps squares in range."""
+    _, exponent = np.frexp(np.abs(vectors).max(axis=1, initial=0))
+    scaled = np.ldexp(vectors, -exponent[:, None])
+    return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
+
+
 class Coder:
     """Learned rotations and the radius."""
 
     def __init__(self, sample: np.ndarray, k: int) -> None:
-        unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+        unit = units(sample)
         self.dim = unit.shape[1]
         self.mean = unit.mean(axis=0)
         centred = unit - self.mean
@@ -78,141 +93,177 @@ class Coder:
 
     def codes(self, vectors: np.ndarray) -> np.ndarray:
         """Rows of 64-bit words."""
-        unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
         signs = np.zeros((len(vectors), self.bits), np.uint8)
-        signs[:, : self.turn.shape[1]] = (unit - self.mean) @ self.turn > 0
+        signs[:, : self.turn.shape[1]] = (units(vectors) - self.mean) @ self.turn > 0
         return np.packbits(signs, axis=1, bitorder="little").view(np.uint64)
 
 
 class MultiIndex:
-    """Tables of a partition's rows by each substring of their codes."""
-
-    def __init__(self, codes: np.ndarray, radius: int) -> None:
-        self.codes, self.radius = codes, radius
-        self.parts = codes.view(np.uint16)
-        m = self.parts.shape[1]
-        self.within = radius // m
-        # Where chance alone would have the probes reach most rows, all codes are checked whole.
-        reached = sum(math.comb(SUBSTRING, i) for i in range(self.within + 1)) / (1 << SUBSTRING)
-        self.wide = 1 - (1 - reached) ** m > 0.5
+    """Tables of some rows by each 16-bit substring of their codes."""
+
+    def __init__(self, codes: np.ndarray) -> None:
+        self.codes, self.parts = codes, codes.view(np.uint16)
         self.tables = []
-        for j in range(0 if self.wide else m):
-            values, n = np.unique(self.parts[:, j], return_counts=True)
+        for j in range(self.parts.shape[1]):
             order = np.argsort(self.parts[:, j], kind="stable")
-            self.tables.append((values, order, np.concatenate([[0], np.cumsum(n)])))
+            values, first = np.unique(self.parts[order, j], return_index=True)
+            self.tables.append((values, order, np.diff(np.concatenate([first, [len(order)]]))))
 
-    def retrieve(self, query: np.ndarray) -> np.ndarray:
-        """All rows whose code is within the radius of the query's."""
-        if self.wide:
-            return np.flatnonzero(np.bitwise_count(self.codes ^ query).sum(axis=1, dtype=np.int64) <= self.radius)
+    def retrieve(self, query: np.ndarray, radius: int) -> np.ndarray:
+        """All rows whose code is within ``radius`` of the query's, by the buckets that hold one by the pigeonhole."""
         probed = np.zeros(len(self.codes), bool)
-        for part, (values, order, at) in zip(query.view(np.uint16), self.tables, strict=True):
-            hit = np.flatnonzero(np.bitwise_count(values ^ part) <= self.within)
-            if len(hit) * 4 < len(values):
-                for i in hit.tolist():
-                    probed[order[at[i] : at[i + 1]]] = True
-            else:
-                take = np.zeros(len(values), bool)
-                take[hit] = True
-                probed[order[np.repeat(take, np.diff(at))]] = True
+        within = radius // len(self.tables)
+        for part, (values, order, n) in zip(query.view(np.uint16), self.tables, strict=True):
+            hit = np.bitwise_count(values ^ part) <= within
+            probed[order[np.repeat(hit, n)]] = True
             if probed.all():
                 break
         rows = np.flatnonzero(probed)
-        return rows[np.bitwise_count(self.codes[rows] ^ query).sum(axis=1, dtype=np.int64) <= self.radius]
+        return rows[np.bitwise_count(self.codes[rows] ^ query).sum(axis=1, dtype=np.int64) <= radius]
 
 
-def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """The rows that take part, and their vectors in double precision."""
-    lists = column.cast(pa.large_list(pa.float64()))
-    size = np.diff(np.asarray(lists.offsets))
-    ok = np.asarray(lists.is_valid()) & (size == dim)
-    rows = np.flatnonzero(ok)
-    vectors = np.array(lists.take(pa.array(rows)).flatten().fill_null(np.nan), dtype=float).reshape(len(rows), dim) if dim else np.zeros((0, 0))
-    good = np.isfinite(vectors).all(axis=1)
-    good[good] = np.linalg.norm(vectors[good], axis=1) > 0
-    return rows[good], vectors[good]
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    return np.array(column.flatten(), dtype=float).reshape(len(column), dim)
 
 
-def _searcher(shipped, k: int):
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, radius, query_ids, queries = pickle.loads(shipped.value)
-        query_codes = coder.codes(queries)
-        query_units = queries / np.linalg.norm(queries, axis=1, keepdims=True)
+def _coder(shipped, n: int):
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with opened(shipped) as coder:
+            for batch in batches:
+                if batch.num_rows:
+                    words = coder.codes(_matrix(batch.column(1), coder.dim))
+                    offsets = pa.array(np.arange(len(words) + 1, dtype=np.int32) * n)
+                    lists = pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(words).view(np.int64).ravel()))
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["vid", "vector", "code"])
+
+    return code
+
+
+def _cosines(dim: int):
+    def cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, vectors = _matrix(batch.column(1), coder.dim)
-            if not len(rows):
-                continue
-            ids = np.array(batch.column(0).take(pa.array(rows)))
-            once = len(np.unique(ids)) == len(ids)
-            units = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-            index = MultiIndex(coder.codes(vectors), radius)
-            out_q, out_v, out_s = [], [], []
-            for q, code, unit in zip(query_ids.tolist(), query_codes, query_units, strict=True):
-                found = index.retrieve(code)
-                found = found[ids[found] != q]
-                # Summed row by row, so that equal vectors get equal scores wherever they stand.
-                score = (units[found] * unit).sum(axis=1)
-                if once and len(found) > k:
-                    near = score >= np.partition(score, len(score) - k)[len(score) - k]
-                    found, score = found[near], score[near]
-                order = np.lexsort((ids[found], -score))
-                _, first = np.unique(ids[found][order], return_index=True)
-                best = order[np.sort(first)[:k]]
-                out_q += [q] * len(best)
-                out_v += ids[found[best]].tolist()
-                out_s += score[best].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), pa.array(out_v, pa.int64()), pa.array(out_s, pa.float64())], names=["query_id", "vec_id", "score"])
+            a, b = (units(_matrix(batch.column(i), dim)) for i in (2, 3))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((a * b).sum(axis=1))], names=["query", "vid", "score"])
+
+    return cosines
+
+
+def _searcher(shipped, radius: int, k: int):
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with opened(shipped) as (query_ids, queries, query_codes):
+            query_units = units(queries)
+            held, n = [], 0
+            for batch in batches:
+                held.append(batch)
+                n += batch.num_rows
+                if n >= INDEX_ROWS:
+                    yield answer(held, query_ids, query_units, query_codes)
+                    held, n = [], 0
+            if n:
+                yield answer(held, query_ids, query_units, query_codes)
+
+    def answer(held: list[pa.RecordBatch], query_ids, query_units, query_codes) -> pa.RecordBatch:
+        ids = np.concatenate([np.array(b.column(0)) for b in held])
+        own = units(np.concatenate([_matrix(b.column(1), query_units.shape[1]) for b in held]))
+        index = MultiIndex(np.concatenate([np.array(b.column(2).flatten(), dtype=np.int64).view(np.uint64).reshape(b.num_rows, -1) for b in held]))
+        out_q, out_v, out_s = [], [], []
+        for q, code, unit in zip(query_ids.tolist(), query_codes, query_units, strict=True):
+            found = index.retrieve(code, radius)
+            # Summed row by row, so that a score is the same wherever its vector stands.
+            score = (own[found] * unit).sum(axis=1)
+            if len(found) > k:
+                near = score >= np.partition(score, len(score) - k)[len(score) - k]
+                found, score = found[near], score[near]
+            best = np.lexsort((ids[found], -score))[:k]
+            out_q += [q] * len(best)
+            out_v += ids[found[best]].tolist()
+            out_s += score[best].tolist()
+        return pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), pa.array(out_v, pa.int64()), pa.array(out_s, pa.float64())], names=["query", "vid", "score"])
 
     return search
 
 
-def _nearest(rows: DataFrame, coder: Coder, radius: int, ids: np.ndarray, vectors: np.ndarray, k: int) -> DataFrame:
-    """query_id, rank, vec_id, score: the ``k`` nearest of each query whose codes are within ``radius``."""
-    shipped = rows.sparkSession.sparkContext.broadcast(pickle.dumps((coder, radius, ids, vectors)))
-    found = rows.mapInArrow(_searcher(shipped, k), "query_id long, vec_id long, score double")
-    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Wd.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return once.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+def best(hits: DataFrame, by: str, k: int, vec_id: str = "vid") -> DataFrame:
+    """The ``k`` rows of the largest score for each ``by``, with their rank."""
+    rank = F.row_number().over(Wd.partitionBy(by).orderBy(F.col("score").desc(), vec_id))
+    return hits.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def substrings(code: Column, bits: int, width: int) -> Column:
+    """Array of struct(part, value): the substrings of a code of 64-bit words."""
+    per = 64 // width
+    value = lambda j: F.shiftrightunsigned(F.get(code, F.lit(j // per)), (j % per) * width).bitwiseAND(F.lit((1 << width) - 1))
+    return F.array(*[F.struct(F.lit(j).alias("part"), value(j).alias("value")) for j in range(bits // width)])
+
+
+def _probed(codes: DataFrame, queries: DataFrame, dim: int, bits: int, rows: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """The nearest ``k`` found (query, vid, score, rank) for ``queries`` (vid) by joining the substring index; and the queries that are finished."""
+    width = 16 if rows <= 1 << 20 else 32
+    radius = (bits // width) * (WITHIN + 1) - 1
+    index = codes.select("vid", F.inline(substrings(F.col("code"), bits, width)))
+    asked = codes.join(queries, "vid", "left_semi")
+    flips = F.array(*[F.lit(m).cast("long") for m in [0, *[1 << i for i in range(width)]]])
+    probes = asked.select(F.col("vid").alias("query"), F.inline(substrings(F.col("code"), bits, width))).select("query", "part", "value", F.explode(flips).alias("flip"))
+    probes = probes.select("query", "part", F.col("value").bitwiseXOR(F.col("flip")).alias("value"))
+    pairs = materialise(probes.join(index, ["part", "value"]).select("query", "vid").distinct(), "probed")
+    left = asked.select(F.col("vid").alias("query"), F.col("vector").alias("in_query"), F.col("code").alias("query_code"))
+    apart = F.aggregate(F.zip_with("query_code", "code", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, x: n + x)
+    both = pairs.join(left, "query").join(codes, "vid").where(apart <= radius)
+    scored = both.select("query", "vid", "in_query", "vector").mapInArrow(_cosines(dim), "query long, vid long, score double")
+    hits = materialise(best(scored, "query", k), "hits")
+    share = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "score"))) / np.pi
+    needed = bits * share + MARGIN * F.sqrt(bits * share * (1 - share))
+    return hits, hits.where((F.col("rank") == k) & (needed <= radius)).select(F.col("query").alias("vid"))
 
 
-def search(table: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: the ``k`` nearest found for every row that meets ``is_query`` (a Column)."""
+def search(table: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """query_id, rank, vec_id, score: the ``k`` nearest found for every vec_id that meets ``is_query`` (of column vec_id)."""
     spark = table.sparkSession
     rows = only_columns(table, vec_id, vector).select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("vector")).where("vec_id is not null")
-    total = rows.count()
-    sampled = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < max(1, int(1_000_000 * min(1.0, SAMPLE_ROWS / max(1, total)))))
-    sample = sampled.limit(2 * SAMPLE_ROWS).toArrow().column("vector").combine_chunks()
-    sizes = [len(v) for v in sample.to_pylist() if v]
-    empty = "query_id long, rank int, vec_id long, score double"
-    if not sizes:
-        return spark.createDataFrame([], empty)
-    dim = max(sorted(set(sizes)), key=sizes.count)
-    sample = sample if isinstance(sample, pa.Array) else sample.chunk(0)
-    _, fitted = _matrix(sample, dim)
-    if not len(fitted):
-        _, fitted = np.zeros(0), np.eye(dim)
-    coder = Coder(fitted, k)
-    queries = materialise(rows.where(is_query).groupBy("vec_id").agg(F.min("vector").alias("vector")), "queries")
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    found = None
+    finite = lambda x: x.isNotNull() & (F.abs(x) < float("inf"))
+    rows = rows.where(F.forall("vector", finite) & F.exists("vector", lambda x: x != 0))
+    commonest = rows.groupBy(F.size("vector").alias("dim")).count().orderBy(F.col("count").desc(), "dim").first()
+    if commonest is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    dim = commonest.dim
+    rows = materialise(rows.where(F.size("vector") == dim).groupBy("vec_id").agg(F.min("vector").alias("vector")), "vectors")
+    distinct = materialise(rows.groupBy("vector").agg(F.min("vec_id").alias("vid")), "distinct")
+    names = materialise(rows.join(distinct, "vector").select("vec_id", "vid"), "names")
+    total = distinct.count()
+    sample = distinct.where(drawn(F.col("vid"), SAMPLE_ROWS, total)).select("vector").toArrow().column("vector")
+    fitted = [_matrix(c, dim) for c in sample.chunks if len(c)]
+    coder = Coder(np.concatenate(fitted) if fitted else np.eye(dim), k)
+    codes = distinct.select("vid", "vector").mapInArrow(_coder(ship(spark, coder), coder.bits // 64), "vid long, vector array<double>, code array<long>")
+    codes = materialise(codes, "codes")
+    asked = names.where(is_query).select("vec_id", "vid")
+    queries = materialise(asked.select("vid").distinct(), "queries")
+    # One more than k, since a query's own vector is among them.
+    hits, finished = _probed(codes, queries, dim, coder.bits, total, k + 1)
+    found = hits.join(finished.withColumnRenamed("vid", "query"), "query", "left_semi").select("query", "vid", "score")
+    rest = materialise(codes.join(queries.join(finished, "vid", "left_anti"), "vid", "left_semi"), "rest")
+    blocks = max(1, -(-rest.count() // QUERY_BLOCK))
     for block in range(blocks):
-        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)) == block)
-        got = part.toArrow()
-        column = got.column("vector").combine_chunks()
-        where, vectors = _matrix(column if isinstance(column, pa.Array) else column.chunk(0), dim)
-        if not len(where):
+        part = rest.where(F.pmod(F.xxhash64("vid", F.lit(1)), F.lit(blocks)) == block).toArrow()
+        ids = np.array(part.column("vid"), dtype=np.int64)
+        if not len(ids):
             continue
-        ids, radius = np.array(got.column("vec_id"))[where], coder.radius
+        vectors = np.concatenate([_matrix(c, dim) for c in part.column("vector").chunks])
+        words, radius = coder.codes(vectors), coder.radius
         while len(ids):
-            hits = materialise(_nearest(rows, coder, radius, ids, vectors, k), "hits")
-            if radius >= coder.bits:
-                short = np.zeros(len(ids), bool)
-            else:
-                full = hits.groupBy("query_id").count().where(F.col("count") >= k).select("query_id").toArrow().column("query_id")
+            shipped = ship(spark, (ids, vectors, words))
+            got = materialise(best(codes.mapInArrow(_searcher(shipped, radius, k + 1), "query long, vid long, score double"), "query", k + 1), "hits")
+            shipped.destroy()
+            short = np.zeros(len(ids), bool)
+            if radius < coder.bits:
+                full = got.where(F.col("rank") == min(k + 1, total)).select("query").toArrow().column("query")
                 short = ~np.isin(ids, np.array(full, dtype=np.int64))
-                if short.any():
-                    again = spark.createDataFrame(pa.table({"query_id": ids[short]}))
-                    hits = hits.join(F.broadcast(again), "query_id", "left_anti")
-            found = hits if found is None else found.unionAll(hits)
-            ids, vectors, radius = ids[short], vectors[short], min(coder.bits, max(2 * radius, SUBSTRING))
-    return spark.createDataFrame([], empty) if found is None else found.select("query_id", "rank", "vec_id", "score")
+            if short.any():
+                again = spark.createDataFrame(pa.table({"query": ids[short]}))
+                got = got.join(F.broadcast(again), "query", "left_anti")
+            found = found.unionAll(got.select("query", "vid", "score"))
+            ids, vectors, words, radius = ids[short], vectors[short], words[short], min(coder.bits, max(2 * radius, 16))
+    found = materialise(found, "found")
+    owners = names.join(found.select("vid").distinct(), "vid", "left_semi")
+    owners = owners.withColumn("rank", F.row_number().over(Wd.partitionBy("vid").orderBy("vec_id"))).where(F.col("rank") <= k + 1).select("vid", "vec_id")
+    nearest = asked.toDF("query_id", "query").join(found, "query").join(owners, "vid").where("query_id <> vec_id")
+    return best(nearest, "query_id", k, "vec_id").select("query_id", "rank", "vec_id", "score")

@@ -165,12 +165,37 @@ def test_an_isolated_query_has_all_its_neighbours(spark):
     assert sorted(g[:2] for g in got) == [(q, r) for q in (0, 200, 1000) for r in range(1, 6)]
 
 
+def test_clusters_and_outliers_in_small_blocks(spark, monkeypatch):
+    """Tight queries are finished by the shared index, the others by blocks, all of them in full."""
+    rnd = np.random.default_rng(6)
+    centres = rnd.normal(size=(20, 16))
+    rows = [(i, [float(x) for x in np.float32(centres[i % 20] + 1e-3 * rnd.normal(size=16))]) for i in range(1500)]
+    rows += [(1500 + i, [float(x) for x in np.float32(rnd.normal(size=16))]) for i in range(300)]
+    rows.append((1850, [float(x) for x in np.float32(-centres.mean(axis=0))]))
+    rows += [(1900 + i, [x * 2.0**200 for x in rows[50][1]]) for i in range(3)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    want = exact([(i, [x / 2.0**200 for x in v] if i >= 1900 else v) for i, v in rows], range(0, 1901, 50), 5)
+    finished = []
+    probed = ann._probed
+    monkeypatch.setattr(ann, "_probed", lambda *a: [finished.append(x[1].count()) or x for x in [probed(*a)]][0])
+    for block, held in ((ann.QUERY_BLOCK, ann.INDEX_ROWS), (4, 100)):
+        monkeypatch.setattr(ann, "QUERY_BLOCK", block)
+        monkeypatch.setattr(ann, "INDEX_ROWS", held)
+        got = [(r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in ann.search(d, F.col("vec_id") % 50 == 0).collect()]
+        assert sorted(g[:2] for g in got) == sorted(w[:2] for w in want)
+        near = lambda rs: {(q, i) for q, _, i, _ in rs}
+        assert len(near(got) & near(want)) >= 0.9 * len(want)
+        assert [g for g in sorted(got) if g[0] == 1850] == [w for w in want if w[0] == 1850]
+        assert all(g[3] > 0.999 for g in got if g[0] < 1500)
+    assert all(25 <= n <= 32 for n in finished)
+
+
 def test_probing_retrieves_all_codes_in_the_radius():
     rnd = np.random.default_rng(4)
     codes = rnd.integers(0, 1 << 63, (3000, 4), dtype=np.uint64)
     codes[:200] = codes[0] ^ (np.uint64(1) << rnd.integers(0, 63, (200, 4), dtype=np.uint64))
-    index = ann.MultiIndex(codes, 40)
-    assert not index.wide
-    for q in range(0, 3000, 100):
-        want = np.flatnonzero(np.bitwise_count(codes ^ codes[q]).sum(axis=1) <= 40)
-        assert np.array_equal(index.retrieve(codes[q]), want)
+    index = ann.MultiIndex(codes)
+    for radius in (3, 40, 110, 256):
+        for q in range(0, 3000, 250):
+            want = np.flatnonzero(np.bitwise_count(codes ^ codes[q]).sum(axis=1) <= radius)
+            assert np.array_equal(index.retrieve(codes[q], radius), want)
