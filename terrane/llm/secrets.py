@@ -1,15 +1,22 @@
-"""Secret scans through a trigram index. DataFrame functions only.
+"""Secret scans through a trigram inverted index. DataFrame functions only.
 
 From each rule's regular expression a Boolean query over lower-case trigrams is derived: a literal run demands all its
 trigrams, alternatives are OR-ed, parts in sequence AND-ed, and whatever has no mandatory trigram demands nothing.
-The index is partitioned by document: a row's postings are the queried trigrams that stand in it, asked for lazily,
-so that a rule's conjunctions stop at the first trigram that is missing. Rules whose query is empty scan every text.
-Candidates are verified with the expression itself and their matches placed by the lengths of the pieces in between.
-
-Everything is one projection per row over whole texts: no shuffle, no join, nothing to lose with an executor.
+The index is a table of postings (trigram, text) for the queried trigrams, written to the shared folder, sorted by
+trigram within each file. A rule's postings are merged by text and intersected as its query says; texts that satisfy a
+query are its candidates, which the expression itself verifies and whose matches are placed by the lengths of the
+pieces in between. Rules whose query is empty scan every text.
+
+Scale: texts are read twice. A posting is 12 bytes whatever the text's length, at most one per queried trigram and
+text; they are merged by partial aggregates. Texts are named by a 64-bit hash: those that shared one would be
+candidates for each other's rules too, and be verified like any. Candidates meet the rows by a broadcast if they are
+fewer than a checked bound, and otherwise by a join on the hash whose hot side Spark splits. Places are summed in
+blocks of ``BLOCK`` matches, so that a text's work grows with its length; no expression repeats a group or starts
+anew inside a run that it reads to the end.
 
 Defined cases: a null text is empty; no finding gives empty spans and the digest of the empty string; repeated rows
-each get their row; extra columns are ignored.
+each get their row; matches of different rules may overlap and are ordered by start, then rule; very long texts are
+scanned whole; an empty table has no rows; extra columns are ignored by ``report`` and stay in ``scan``.
 """
 
 from __future__ import annotations
@@ -21,7 +28,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import only_columns
+from .scratch import fresh, materialise, only_columns, small
+
+BROADCAST_ROWS = 500_000
+BLOCK = 256
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -42,8 +53,8 @@ RULES = [
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("stripe", r"(?:sk|rk)_live_[A-Za-z0-9]{16,}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+"),
-    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+"),
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("url_password", r"://[A-Za-z0-9._~-]+:[^\x00-\x20/@:]{6,}@"),
 ]
 
@@ -129,51 +140,96 @@ def _query(tree) -> Query:
     return _all(parts)
 
 
-def holds(query: Query, lower: Column) -> Column:
-    """Whether a text's postings satisfy a query."""
+def trigrams(query: Query) -> set[str]:
+    """All trigrams that a query asks for."""
+    return {query} if isinstance(query, str) else set() if query is True else set().union(*map(trigrams, query[1]))
+
+
+def postings(texts: Column, docs: DataFrame, asked: list[str]) -> DataFrame:
+    """``(text, trigram)``: the hash of each text and the places in ``asked`` of the trigrams that stand in it."""
+    content = F.coalesce(texts, F.lit(""))
+    known = F.array(*[F.struct(F.lit(i).alias("at"), F.lit(t).alias("trigram")) for i, t in enumerate(asked)])
+    rows = docs.select(F.xxhash64(content).alias("text"), F.lower(content).alias("lower"))
+    there = F.transform(F.filter(known, lambda t: F.contains(F.col("lower"), t["trigram"])), lambda t: t["at"])
+    return rows.select("text", F.explode(there).alias("trigram")).sortWithinPartitions("trigram", "text")
+
+
+def holds(query: Query, asked: list[str], bits: list[Column]) -> Column:
+    """Whether merged postings satisfy a query. ``bits``: for each 63 trigrams asked for, which of them a text holds."""
     if query is True:
         return F.lit(True)
     if isinstance(query, str):
-        return F.contains(lower, F.lit(query))
-    out = holds(query[1][0], lower)
+        word, bit = divmod(asked.index(query), 63)
+        return bits[word].bitwiseAND(F.lit(1 << bit)) != 0
+    out = holds(query[1][0], asked, bits)
     for q in query[1][1:]:
-        out = out & holds(q, lower) if query[0] == "and" else out | holds(q, lower)
+        out = out & holds(q, asked, bits) if query[0] == "and" else out | holds(q, asked, bits)
     return out
 
 
+def candidates(docs: DataFrame, text: str, rules: list[Rule]) -> DataFrame:
+    """``(text, rules)``: the hashes of texts that satisfy the query of any rule, and the places of these rules."""
+    queries = [trigram_query(r.regex) for r in rules]
+    asked = sorted(set().union(*map(trigrams, queries)))
+    if not asked:
+        return docs.sparkSession.createDataFrame([], "text long, rules array<int>")
+    index = materialise(postings(F.col(f"`{text}`"), only_columns(docs, text), asked), "postings")
+    words = range(-(-len(asked) // 63))
+    bit = lambda w: F.when(F.floor(F.col("trigram") / 63) == w, F.expr("shiftleft(1L, trigram % 63)")).otherwise(F.lit(0).cast("long"))
+    merged = index.groupBy("text").agg(*[F.bit_or(bit(w)).alias(f"w{w}") for w in words])
+    bits = [F.col(f"w{w}") for w in words]
+    which = F.array_compact(F.array(*[F.when(holds(q, asked, bits), F.lit(i)) for i, q in enumerate(queries) if q is not True]))
+    return materialise(merged.select("text", which.alias("rules")).where(F.size("rules") > 0), "candidates")
+
+
 _SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _spans(rule: Rule, rank: int, text: Column) -> Column:
     """The spans of a rule in a text that holds candidates: leftmost, non-overlapping, failing matches left out."""
     between = F.transform(F.split(text, rule.regex, -1), lambda p: F.length(p))
     matches = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(0))
     tested = matches if rule.group == 0 else F.regexp_extract_all(text, F.lit(rule.regex), F.lit(rule.group))
     rows = F.zip_with(F.zip_with(matches, tested, lambda m, t: F.struct(F.length(m).alias("n"), F.length(t).alias("t"))), between, lambda m, b: F.struct(m["n"].alias("n"), m["t"].alias("t"), b.alias("b")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+    blocks = let(rows, lambda all_rows: F.transform(F.sequence(F.lit(0), F.floor((F.size(all_rows) - 1) / BLOCK).cast("int")), lambda i: F.slice(all_rows, i * BLOCK + 1, F.lit(BLOCK))))
+    behind = lambda at, m: at + m["b"] + F.coalesce(m["n"], F.lit(0))
+
+    def begins(parts: Column) -> Column:
+        """The blocks with the place where each begins."""
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        step = lambda acc, part: F.struct(F.aggregate(part, acc["at"], behind).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.zip_with(parts, F.aggregate(parts, start, step, lambda acc: acc["out"]), lambda part, at: F.struct(part.alias("part"), at.alias("at")))
 
     def step(acc: Column, m: Column) -> Column:
         begin = acc["at"] + m["b"]
         span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), (begin + m["n"]).alias("end"), F.lit(rule.kind).alias("kind"))
         ok = m["n"].isNotNull() & (m["t"] >= rule.at_least)
-        out = F.when(ok, F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
-        return F.struct((begin + F.coalesce(m["n"], F.lit(0))).alias("at"), out.cast(_SPAN).alias("out"))
+        return F.struct(behind(acc["at"], m).alias("at"), F.when(ok, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).cast(_SPAN).alias("out"))
 
-    return F.aggregate(rows, start, step, lambda acc: acc["out"])
+    inside = lambda b: F.aggregate(b["part"], F.struct(b["at"].alias("at"), F.array().cast(_SPAN).alias("out")), step, lambda acc: acc["out"])
+    return F.flatten(F.transform(let(blocks, begins), inside))
 
 
-def scan(docs: DataFrame, text: str = "text", rules: list[Rule] = RULES) -> DataFrame:
-    """``docs`` with found: every finding's start, rule rank, end (code points, end exclusive) and kind, in order."""
+def scan(docs: DataFrame, text: str = "text", rules: list[Rule] = RULES, name: str = "found") -> DataFrame:
+    """``docs`` with every finding's start, rule rank, end (code points, end exclusive) and kind, in order, in a column ``name``."""
+    found = candidates(docs, text, rules)
+    key, which = fresh(docs, "key", "which")
+    found = found.toDF(key, which)
     content = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    out = docs.withColumn("_lower", F.lower(content))
+    joined = docs.withColumn(key, F.xxhash64(content)).join(F.broadcast(found) if small(found, BROADCAST_ROWS) else found, key, "left")
     parts = []
     for rank, rule in enumerate(rules):
-        query = trigram_query(rule.regex)
         candidate = content.rlike(rule.regex)
-        if query is not True:
-            candidate = holds(query, F.col("_lower")) & candidate
+        if trigram_query(rule.regex) is not True:
+            candidate = F.coalesce(F.array_contains(which, rank), F.lit(False)) & candidate
         parts.append(F.when(candidate, _spans(rule, rank, content)).otherwise(F.array().cast(_SPAN)))
-    return out.withColumn("found", F.array_sort(F.concat(*parts))).drop("_lower")
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() != name.lower()]
+    return joined.select(*kept, F.array_sort(F.concat(*parts)).alias(name))
 
 
 def joined(found: Column) -> Column:
