@@ -1,20 +1,27 @@
 """License scans with a positional rare-token index over licence notices. DataFrame functions only.
 
-The index holds, for every word of every notice, its relative positions. Document frequencies of the licence words
-are counted over all documents first; they fix each notice's look-up words, the rarest ones. For each file the
-postings of a notice's words are shifted by their relative positions and intersected, rarest word first, which leaves
-the places where the words stand as in the notice; the notice counts if its mandatory key phrase stands there whole.
+Document frequencies of the licence words are counted over all documents first. The index holds each notice under the
+rarest word of its mandatory key phrase, with the word's relative position. Each file's licence words that the index
+knows are looked up, rarest first within a notice: a look-up proposes a notice and the place where its phrase would
+begin, and the file's words at the relative positions of the notice's other key words, in the order of their rarity, are
+intersected with that until one is missing. What is left is the key phrase whole; the notice counts there. A place is
+asked for by one word only, so a file's work grows with its look-up words, however often a notice repeats.
 
 A file without any notice's rarest word is decided by substring look-ups alone. Everything after the frequency count
 is one projection per row: no shuffle, no join, whole texts. What the driver collects is one number for each of the
-fixed licence words.
+fixed licence words. Index and notices are one literal of the plan, whose size doesn't follow their number.
 
-Defined cases: a null text is empty, has no words, no labels and score 0; repeated rows each get their row; extra
-columns are ignored.
+The score is the share of a notice's weight (its words' inverse document frequencies) that stands in place around the
+best of its key phrases, and one half for a phrase by itself; a file's is its largest.
+
+Defined cases: a null text is empty, has no words, no labels and score 0; very long texts are read whole; of equal
+scores and labels one is named; repeated rows each get their row; an empty table has no rows; extra columns are ignored
+by ``report`` and stay in ``scan``.
 """
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -80,51 +87,72 @@ def frequencies(docs: DataFrame, text: str) -> tuple[int, dict[str, int]]:
     return counts.pop("", 0), counts
 
 
-def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with n_words and found: for each notice that stands in the text its label, base, places and coverage."""
-    rows, df = frequencies(only_columns(docs, text), text)
+_NOTICE = "struct<label:string,base:boolean,whole:double,key:array<struct<w:string,at:int>>,all:array<struct<w:string,at:int,idf:double>>>"
+
+
+def notices(rows: int, df: dict[str, int]) -> tuple[list[dict], list[dict]]:
+    """The notices with their words' places relative to the key phrase, and the index: rarest word, place, notice."""
     idf = {w: math.log((rows + 1) / (df.get(w, 0) + 0.5)) for w in vocabulary()}
-    templates, rarest = [], set()
+    found, index = [], []
     for label, notice, key in [(label, p, p) for label, p in PHRASES] + NOTICES:
-        base = notice == key
         ws, ks = notice.split(), key.split()
         start = next(i for i in range(len(ws)) if ws[i : i + len(ks)] == ks)
-        order = sorted(range(start, start + len(ks)), key=lambda i: (-idf[ws[i]], i))
-        rarest.add(ws[order[0]])
-        entry = lambda i: F.struct(F.lit(ws[i]).alias("w"), F.lit(i - start).alias("at"), F.lit(idf[ws[i]]).alias("idf"))  # noqa: B023, E731
-        templates.append(F.struct(F.lit(label).alias("label"), F.lit(base).alias("base"), F.array(*[entry(i) for i in order]).alias("key"), F.array(*[entry(i) for i in range(len(ws))]).alias("all")))
-    lower = F.lower(F.col(text))
+        order = sorted(range(len(ks)), key=lambda i: (-idf[ks[i]], i))
+        index.append({"w": ks[order[0]], "at": order[0], "notice": len(found)})
+        every = [{"w": w, "at": i - start, "idf": idf[w]} for i, w in enumerate(ws)]
+        found.append({"label": label, "base": notice == key, "whole": sum(e["idf"] for e in every), "key": [{"w": ks[i], "at": i} for i in order], "all": every})
+    return found, index
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def scan(docs: DataFrame, text: str = "text", names: tuple[str, str] = ("n_words", "found")) -> DataFrame:
+    """``docs`` with n_words and found: for each notice that stands in the text its label, base, places and coverage.
+
+    Columns of ``docs`` that have these ``names`` are replaced.
+    """
+    known, entries = notices(*frequencies(only_columns(docs, text), text))
+    literal = lambda value, kind: F.from_json(F.lit(json.dumps(value)), kind)
+    every, index = literal(known, f"array<{_NOTICE}>"), literal(entries, "array<struct<w:string,at:int,notice:int>>")
+    rarest = sorted({e["w"] for e in entries})
+    content = F.col(f"`{text}`")
+    lower = F.lower(content)
     worth = F.lit(False)
-    for word in sorted(rarest):
+    for word in rarest:
         worth = worth | F.contains(lower, F.lit(word))
     # Short words stand inside many others, so what is left has to hold one as a word.
     inside = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
-    worth = worth & F.col(text).rlike(rf"(?i)(?<!{inside})(?:{'|'.join(sorted(rarest))})(?!{inside})")
-    known = F.array(*[F.lit(w) for w in vocabulary()])
-    hits = F.filter(F.transform("_words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: F.array_contains(known, h["w"]))
-    postings = F.map_from_entries(F.transform(F.array_distinct(F.transform("_hits", lambda h: h["w"])), lambda w: F.struct(w, F.transform(F.filter("_hits", lambda h: h["w"] == w), lambda h: h["i"]))))
-    starts = lambda e: F.transform(F.coalesce(F.try_element_at("_postings", e["w"]), F.array().cast("array<int>")), lambda i: i - e["at"])
-    places = lambda t: F.aggregate(F.slice(t["key"], 2, 1000), starts(t["key"][0]), lambda got, e: F.array_intersect(got, starts(e)))
-    weight = lambda t, at: F.aggregate(t["all"], F.lit(0.0), lambda s, e: s + F.when(F.array_contains(starts(e), at), e["idf"]).otherwise(0.0))
-    whole = lambda t: F.aggregate(t["all"], F.lit(0.0), lambda s, e: s + e["idf"])
-    placed = F.filter(F.transform(F.array(*templates), lambda t: F.struct(t.alias("t"), places(t).alias("places"))), lambda p: F.size(p["places"]) > 0)
-    # A phrase by itself is half of a notice's evidence.
-    coverage = lambda p: F.when(p["t"]["base"], F.lit(0.5)).otherwise(F.array_max(F.transform(p["places"], lambda at: weight(p["t"], at))) / whole(p["t"]))
-    found = F.transform("_placed", lambda p: F.struct(p["t"]["label"].alias("label"), p["t"]["base"].alias("base"), p["places"].alias("places"), F.least(F.lit(1.0), coverage(p)).alias("coverage")))
-    none = F.lit(None)
-    content = F.coalesce(F.col(text), F.lit(""))
-    out = docs.withColumns({"_worth": F.coalesce(worth, F.lit(False)), "n_words": n_words(content).cast("long")})
-    out = out.withColumn("_words", F.when(F.col("_worth"), words(content)).otherwise(none))
-    out = out.withColumn("_hits", F.when(F.col("_worth"), hits).otherwise(none))
-    out = out.withColumn("_postings", F.when(F.col("_worth"), postings).otherwise(none))
-    out = out.withColumn("_placed", F.when(F.col("_worth"), placed).otherwise(none)).withColumn("found", F.when(F.col("_worth"), found).otherwise(none))
+    worth = F.coalesce(worth & content.rlike(rf"(?i)(?<!{inside})(?:{'|'.join(rarest)})(?!{inside})"), F.lit(False))
+    asked = F.array(*[F.lit(w) for w in rarest])
+
+    def placed(ws: Column) -> Column:
+        """Notice and first word of every key phrase that stands in the words."""
+        hits = F.filter(F.transform(ws, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: F.array_contains(asked, h["w"]))
+        proposed = F.flatten(F.transform(hits, lambda h: F.transform(F.filter(index, lambda e: e["w"] == h["w"]), lambda e: F.struct(e["notice"].alias("notice"), (h["i"] - e["at"]).alias("at")))))
+        return F.filter(proposed, lambda p: F.forall(F.get(every, p["notice"])["key"], lambda k: F.get(ws, p["at"] + k["at"]).eqNullSafe(k["w"])))
+
+    def covered(ws: Column, notice: Column, places: Column) -> Column:
+        weight = lambda at: F.aggregate(notice["all"], F.lit(0.0), lambda s, e: s + F.when(F.get(ws, at + e["at"]).eqNullSafe(e["w"]), e["idf"]).otherwise(0.0))
+        # A phrase by itself is half of a notice's evidence.
+        return F.when(notice["base"], F.lit(0.5)).otherwise(F.least(F.lit(1.0), F.array_max(F.transform(places, weight)) / notice["whole"]))
+
+    def found(ws: Column, all_placed: Column) -> Column:
+        at = lambda i: F.transform(F.filter(all_placed, lambda p: p["notice"] == i), lambda p: p["at"])
+        there = F.filter(F.transform(every, lambda n, i: F.struct(n.alias("n"), at(i).alias("places"))), lambda x: F.size(x["places"]) > 0)
+        return F.transform(there, lambda x: F.struct(x["n"]["label"].alias("label"), x["n"]["base"].alias("base"), x["places"].alias("places"), covered(ws, x["n"], x["places"]).alias("coverage")))
+
     empty = F.array().cast("array<struct<label:string,base:boolean,places:array<int>,coverage:double>>")
-    return out.withColumn("found", F.coalesce("found", empty)).drop("_words", "_worth", "_hits", "_postings", "_placed")
+    result = F.when(worth, let(words(content), lambda ws: let(placed(ws), lambda p: found(ws, p)))).otherwise(empty)
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in names]
+    return docs.select(*kept, n_words(F.coalesce(content, F.lit(""))).cast("long").alias(names[0]), result.alias(names[1]))
 
 
 def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
-    found = scan(only_columns(docs, doc_id, text), text)
+    found = scan(only_columns(docs, doc_id, text).toDF("doc_id", "text"), "text").withColumnRenamed("doc_id", doc_id)
     labels = lambda got: F.array_join(F.array_sort(F.array_distinct(F.transform(got, lambda f: f["label"]))), ",")
     base = F.filter("found", lambda f: f["base"])
     at = F.flatten(F.transform(base, lambda f: f["places"]))
