@@ -8,17 +8,20 @@ For every language the log posterior of a row is the sum of
 * the log likelihood of the address suffix, counted likewise;
 * the log prior of the host, smoothed towards its registered domain, and that towards the whole collection.
 
-The trigram model is fitted on a bounded sample of labelled rows (about ``SAMPLE_ROWS``, by a hash of the text). Hosts,
-domains, suffixes and declarations are grouped aggregates over all rows, of the languages that the text alone gives.
+The trigram model is fitted on a bounded sample of labelled rows: about ``SAMPLE_ROWS`` different texts of each language,
+by a hash of the text whose threshold follows from the language's rows, so that every language that any row declares has
+a model, however many rows there are. Hosts, domains, suffixes and declarations are grouped aggregates over all rows, of
+the languages that the text alone gives.
 A row is rejected ("und") if its text has no letters, if an even distribution over trigrams explains it better than
 every language, or if no language reaches ``MIN_POSTERIOR``.
 
-Scale: the texts are scored twice, by vectorised look-ups in a table of 2^14 trigrams per language, rather than kept
-or shuffled. The evidence tables have a row for each host; they meet the rows by a broadcast if their number is below
+Scale: the texts are scored twice, by vectorised look-ups in a table of 2^14 trigrams per language (64 KB each, which is
+what is broadcast), rather than kept or shuffled. The evidence tables have a row for each host; they meet the rows by a broadcast if their number is below
 a checked bound, and otherwise by a join on the host whose hot side Spark splits.
 
-Defined cases: a null or empty text is rejected; a null host or declaration is a value of its own; repeated rows each
-get their row; an empty table has no rows; without labelled rows everything is rejected; extra columns stay.
+Defined cases: a null or empty text is rejected; very long texts are read whole; of equal posteriors the first language
+by name wins; a null host or declaration is a value of its own; repeated rows each get their row (and count once in the
+model's sample); an empty table has no rows; without labelled rows everything is rejected; extra columns stay.
 """
 
 from __future__ import annotations
@@ -31,11 +34,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .scratch import fresh, materialise, only_columns, small
+from .scratch import fresh, materialise, only_columns, opened, ship, small, threshold
 
-SAMPLE_ROWS = 4000
+SAMPLE_ROWS = 2000
 BUCKETS = 1 << 14
-MOST_LANGUAGES = 200
 MIN_POSTERIOR = 0.5
 PRIOR_ROWS = 20.0
 BROADCAST_HOSTS = 200_000
@@ -70,17 +72,12 @@ def trigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return bucket, np.searchsorted(where, at)
 
 
-def _counter(index: dict[str, int]):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((len(index), BUCKETS), np.int64)
-        for batch in W.pieces(batches, 0):
-            bucket, at = trigrams(batch.column(0))
-            of_row = np.array([index[x] for x in batch.column(1).to_pylist()], np.int64)
-            np.add.at(counts, (np.repeat(of_row, np.diff(at)), bucket), 1)
-        lang, gram = np.nonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(gram), pa.array(counts[lang, gram])], names=["lang", "gram", "n"])
-
-    return count
+def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in W.pieces(batches, 0):
+        bucket, at = trigrams(batch.column(0))
+        both = np.repeat(np.array(batch.column(1), dtype=np.int64), np.diff(at)) * BUCKETS + bucket
+        distinct, n = np.unique(both, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(distinct // BUCKETS), pa.array(distinct % BUCKETS), pa.array(n)], names=["lang", "gram", "n"])
 
 
 class Model:
@@ -103,73 +100,67 @@ class Model:
 
 
 def fit(labelled: DataFrame, text: str, lang: str, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """A trigram model from a bounded sample of rows with text and language."""
+    """A trigram model from a bounded sample of each language's rows with text and language."""
     rows = only_columns(labelled, text, lang).toDF("text", "lang").where("text is not null and lang is not null")
-    total = rows.count()
-    if total > sample_rows:
-        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * sample_rows / total))
-    languages = sorted(r.lang for r in rows.select("lang").distinct().limit(MOST_LANGUAGES).collect())
-    index = {name: i for i, name in enumerate(languages)}
+    sizes = sorted((r.lang, r["count"]) for r in rows.groupBy("lang").count().collect())
+    languages = [name for name, _ in sizes]
     counts = np.zeros((len(languages), BUCKETS))
-    counted = rows.where(F.col("lang").isin(languages)).mapInArrow(_counter(index), "lang long, gram long, n long")
-    for r in counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).collect():
-        counts[r.lang, r.gram] = r.n
+    if languages:
+        limits = labelled.sparkSession.createDataFrame([(name, i, threshold(sample_rows, n)) for i, (name, n) in enumerate(sizes)], "lang string, number long, most long")
+        drawn = F.shiftrightunsigned(F.xxhash64("text", F.lit(1)), 1) <= F.col("most")
+        sample = rows.join(F.broadcast(limits), "lang").where(drawn).select("text", "number").distinct()
+        counted = sample.mapInArrow(_counter, "lang long, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+        counts[np.array(counted.column("lang")), np.array(counted.column("gram"))] = np.array(counted.column("n"))
     p = (counts + 0.5) / (counts + 0.5).sum(axis=1, keepdims=True)
     return Model(languages, np.log(p).astype(np.float32))
 
 
-def _texts(model) -> Column:
+def _texts(shipped):
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
-        for batch in W.pieces(batches, "text"):
-            scores, n = m.scores(batch.column("text"))
-            top = scores.argmax(axis=1)
-            names = [m.languages[i] if i < len(m.languages) and k else None for i, k in zip(top.tolist(), n.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("site"), batch.column("suffix"), batch.column("declared"), pa.array(names, pa.string())], names=["site", "suffix", "declared", "best"])
+        with opened(shipped) as m:
+            for batch in W.pieces(batches, "text"):
+                scores, n = m.scores(batch.column("text"))
+                top = scores.argmax(axis=1)
+                names = [m.languages[i] if i < len(m.languages) and k else None for i, k in zip(top.tolist(), n.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("site"), batch.column("suffix"), batch.column("declared"), pa.array(names, pa.string())], names=["site", "suffix", "declared", "best"])
 
     return best
 
 
-def _fuser(model, declared: dict[str, list[float]], n_keep: int, made: tuple[str, str]):
+def _fuser(shipped, declared: dict[str, list[float]], n_keep: int, made: tuple[str, str]):
     def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
-        none = np.full(len(m.languages), -np.log(max(1, len(m.languages))))
-        other = {k: np.array(v) for k, v in declared.items()}
-        for batch in W.pieces(batches, 0):
-            scores, n = m.scores(batch.column(0))
-            known = scores[:, :-1].copy()
-            if len(m.languages):
-                priors = batch.column(1).to_pylist()
-                known += np.array([none if p is None else p for p in priors]).reshape(known.shape)
-                known += np.array([other.get(x, none) for x in batch.column(2).to_pylist()]).reshape(known.shape)
-                top = known.argmax(axis=1)
-                posterior = 1 / np.exp(known - known.max(axis=1, keepdims=True)).sum(axis=1)
-                rows = np.arange(len(top))
-                fine = (n > 0) & (scores[rows, top] > scores[:, -1]) & (posterior >= MIN_POSTERIOR)
-                names = [m.languages[i] if ok else UNKNOWN for i, ok in zip(top.tolist(), fine.tolist(), strict=True)]
-            else:
-                posterior, names = np.zeros(len(n)), [UNKNOWN] * len(n)
-            kept = [batch.column(i) for i in range(3, 3 + n_keep)]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(posterior)], names=[*batch.schema.names[3:], *made])
+        with opened(shipped) as m:
+            none = np.full(len(m.languages), -np.log(max(1, len(m.languages))))
+            other = {k: np.array(v) for k, v in declared.items()}
+            for batch in W.pieces(batches, 0):
+                scores, n = m.scores(batch.column(0))
+                known = scores[:, :-1].copy()
+                if len(m.languages):
+                    priors = batch.column(1).to_pylist()
+                    known += np.array([none if p is None else p for p in priors]).reshape(known.shape)
+                    known += np.array([other.get(x, none) for x in batch.column(2).to_pylist()]).reshape(known.shape)
+                    top = known.argmax(axis=1)
+                    posterior = 1 / np.exp(known - known.max(axis=1, keepdims=True)).sum(axis=1)
+                    rows = np.arange(len(top))
+                    fine = (n > 0) & (scores[rows, top] > scores[:, -1]) & (posterior >= MIN_POSTERIOR)
+                    names = [m.languages[i] if ok else UNKNOWN for i, ok in zip(top.tolist(), fine.tolist(), strict=True)]
+                else:
+                    posterior, names = np.zeros(len(n)), [UNKNOWN] * len(n)
+                kept = [batch.column(i) for i in range(3, 3 + n_keep)]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(posterior)], names=[*batch.schema.names[3:], *made])
 
     return fuse
 
 
 def _log_likelihoods(counts: DataFrame, by: str, languages: list[str]) -> DataFrame:
     """``(by, evidence)``: log P(value | language) for each language, smoothed by one row spread over the values."""
-    values = F.count("*").over(_all())
     per = [F.sum(F.when(F.col("best") == l, F.col("n")).otherwise(0)).alias(f"c{i}") for i, l in enumerate(languages)]
     table = counts.groupBy(by).agg(*per)
-    logs = [F.log((F.col(f"c{i}") + 1 / values) / (F.sum(f"c{i}").over(_all()) + 1)) for i in range(len(languages))]
+    values, *totals = table.agg(F.count("*"), *[F.sum(f"c{i}") for i in range(len(languages))]).first()
+    logs = [F.log((F.col(f"c{i}") + 1 / max(1, values)) / ((total or 0) + 1.0)) for i, total in enumerate(totals)]
     return table.select(by, F.array(*logs).alias("evidence"))
 
 
-def _all():
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lit(1))
-
-
 def identify(rows: DataFrame, model: Model, text: Column, host: Column, declared: Column, names: tuple[str, str] = ("detected", "posterior")) -> DataFrame:
     """``rows`` with detected (a language or "und") and posterior. ``text``, ``host``, ``declared``: columns of ``rows``.
 
@@ -177,8 +168,8 @@ def identify(rows: DataFrame, model: Model, text: Column, host: Column, declared
     """
     spark = rows.sparkSession
     languages = model.languages
-    at, prior = fresh(rows, "_site", "_prior")
-    shipped = spark.sparkContext.broadcast(model)
+    at, prior, body, saying = fresh(rows, "_site", "_prior", "_text", "_declared")
+    shipped = ship(spark, model)
     name = F.lower(F.trim(host))
     site = F.coalesce(F.concat(F.lit("="), name), F.lit(""))
     suffix = F.coalesce(F.when(F.instr(name, ".") > 0, F.element_at(F.split(name, r"\."), -1)), F.lit(""))
@@ -209,7 +200,7 @@ def identify(rows: DataFrame, model: Model, text: Column, host: Column, declared
         says_table = {}
         out = out.withColumn(prior, F.lit(None).cast("array<double>"))
     kept = [c for c in rows.columns if c.lower() not in names]
-    ready = out.select(text.alias("_text"), F.col(prior).alias("_prior"), says.alias("_declared"), *[F.col(f"`{c}`") for c in kept])
+    ready = out.select(text.alias(body), F.col(prior), says.alias(saying), *[F.col(f"`{c}`") for c in kept])
     schema = rows.select(*[F.col(f"`{c}`") for c in kept]).withColumns({names[0]: F.lit("").cast("string"), names[1]: F.lit(0.0)}).schema
     return ready.mapInArrow(_fuser(shipped, says_table, len(kept), names), schema)
 
@@ -223,13 +214,14 @@ def visible_text(html: Column) -> Column:
 
 def of_pages(pages: DataFrame, labelled: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Per page: page_id, declared, detected, posterior."""
-    rows = only_columns(pages, page_id, url, html)
+    rows = only_columns(pages, page_id, url, html).toDF("page_id", "url", "html")
+    page, page_id, url, html = page_id, "page_id", "url", "html"
     declared = F.nullif(F.regexp_extract(F.col(html), r"""(?i)<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z-]+)""", 1), F.lit(""))
     rows = rows.withColumn("declared", declared).withColumn("_visible", visible_text(F.col(html)))
     rows = rows.select(page_id, "declared", F.regexp_extract(F.col(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1).alias("_host"), "_visible")
     rows = rows.withColumn("_host", F.nullif("_host", F.lit("")))
     found = identify(rows, fit(labelled, "text", "lang"), F.col("_visible"), F.col("_host"), F.col("declared"))
-    return found.select(page_id, "declared", "detected", "posterior")
+    return found.select(F.col("page_id").alias(page), "declared", "detected", "posterior")
 
 
 def keep_known(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
