@@ -11,7 +11,8 @@ broadcast if their number is below a checked bound, and otherwise by a join on t
 The pages' texts are rebuilt in place.
 
 Defined cases: a null host is a host of its own; a null text has no lines and stays null; repeated rows are pages of
-their own; an empty table has no rows; extra columns stay as they are.
+their own; a line at the ratio exactly stays; very long texts are taken whole; an empty table has no rows; extra columns,
+whatever their names, stay as they are.
 """
 
 from __future__ import annotations
@@ -47,14 +48,15 @@ def boilerplate(pages: DataFrame, host: str, text: str, ratio: float, min_pages:
 
 def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, names: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
     """``pages`` with boilerplate lines taken out of ``text``, and n_lines and n_dropped instead of columns of these names."""
-    gone = materialise(boilerplate(pages, host, text, ratio, min_pages), "boilerplate")
-    lines = gone.agg(F.sum(F.size("_gone"))).first()[0] or 0
-    joined = pages.withColumn("_site", _site(host)).join(F.broadcast(gone) if lines <= BROADCAST_LINES else gone, "_site", "left")
+    site, lost, kept = fresh(pages, "site", "gone", "kept")
+    gone = materialise(boilerplate(pages, host, text, ratio, min_pages).toDF(site, lost), "boilerplate")
+    lines = gone.agg(F.sum(F.size(lost))).first()[0] or 0
+    joined = pages.withColumn(site, _site(host)).join(F.broadcast(gone) if lines <= BROADCAST_LINES else gone, site, "left")
     every = F.split(F.col(f"`{text}`"), "\n")
-    kept = F.when(F.col("_gone").isNull(), every).otherwise(F.filter(every, lambda line: ~F.array_contains("_gone", F.xxhash64(F.trim(line)))))
-    out = joined.withColumn("_kept", kept)
-    left = F.when(F.col(f"`{text}`").isNull(), 0).otherwise(F.size("_kept")).cast("long")
-    columns = [F.col(f"`{c}`") if c != text else F.when(F.col("_gone").isNull(), F.col(f"`{text}`")).otherwise(F.array_join("_kept", "\n")).alias(text) for c in pages.columns if c.lower() not in names]
+    none = F.col(lost).isNull()
+    out = joined.withColumn(kept, F.when(none, every).otherwise(F.filter(every, lambda line: ~F.array_contains(lost, F.xxhash64(F.trim(line))))))
+    left = F.when(F.col(f"`{text}`").isNull(), 0).otherwise(F.size(kept)).cast("long")
+    columns = [F.col(f"`{c}`") if c != text else F.when(none, F.col(f"`{text}`")).otherwise(F.array_join(kept, "\n")).alias(text) for c in pages.columns if c.lower() not in names]
     n = F.when(F.col(f"`{text}`").isNull(), 0).otherwise(F.size(every)).cast("long")
     return out.select(*columns, n.alias(names[0]), (n - left).alias(names[1]))
 
