@@ -14,8 +14,9 @@ cut into digest ranges of about ``BUCKET_ROWS`` rows, so that a source with a th
 ranges; only the ranges' totals are summed per source. The source table alone is ordered in one task.
 
 Defined cases: a null source is a source of its own, ordered last; a null text has size 0 and is taken 0 times; equal
-rows are told apart by nothing and may share what is taken in any order; sources without words have target 0; extra
-columns are ignored by ``mix``.
+rows are told apart by nothing and may share what is taken in any order; sources without words have target 0; very long
+texts count like any, and the one that straddles a target is taken in part; an empty table has no rows; extra columns
+are ignored by ``mix`` and stay in ``mixed_documents``.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as Wd
 from pyspark.sql import functions as F
 
-from .scratch import materialise, only_columns, small
+from .scratch import fresh, materialise, only_columns, small
 
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
@@ -106,14 +107,31 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS sour
 FROM p JOIN g ON p.source IS NOT DISTINCT FROM g.source
 """
 
+
 def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """The documents that the mix takes, in its order, with their columns and size, taken and finish instead of columns of these names.
 
-    Rows meet their place by digest; rows of equal doc_id and text count once here.
+    Rows meet their place by digest and source. Rows that share both are numbered, in the order of the rows as JSON, and
+    the earlier places of the mix go to the smaller numbers.
     """
-    placed = materialise(mix(docs, doc_id, source, text).where("taken > 0"), "mix")
-    placed = placed.groupBy(F.col("digest").alias("_digest"), F.col("source").alias("_source")).agg(F.max("size").alias("size"), F.max("taken").alias("taken"), F.min("finish").alias("finish"))
-    placed = F.broadcast(placed) if small(placed, BROADCAST_ROWS) else placed
-    keyed = docs.drop("size", "taken", "finish").withColumn("_key", _digest(F.col(f"`{doc_id}`"), F.col(f"`{text}`")))
-    joined = keyed.join(placed, (F.col("_key") == F.col("_digest")) & F.col(f"`{source}`").eqNullSafe(F.col("_source")))
-    return joined.drop("_key", "_digest", "_source").orderBy("finish")
+    kept = [c for c in docs.columns if c.lower() not in ("size", "taken", "finish")]
+    docs = docs.select(*[F.col(f"`{c}`") for c in kept])
+    key, site, copy, at = fresh(docs, "key", "site", "copy", "at")
+    placed = materialise(mix(docs, doc_id, source, text), "mix").select(F.col("digest").alias(key), F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias(site), "size", "taken", "finish")
+    keyed = docs.withColumns({key: _digest(F.col(f"`{doc_id}`"), F.col(f"`{text}`")), site: F.coalesce(F.concat(F.lit("="), F.col(f"`{source}`").cast("string")), F.lit(""))})
+    repeated = materialise(placed.groupBy(key, site).count().where("count > 1").select(key, site), "repeated")
+    if repeated.isEmpty():
+        placed, keyed = placed.withColumn(copy, F.lit(1)), keyed.withColumn(copy, F.lit(1))
+    else:
+        near = F.broadcast(repeated.withColumn(at, F.lit(True))) if small(repeated, BROADCAST_ROWS) else repeated.withColumn(at, F.lit(True))
+
+        def numbered(rows: DataFrame, *order: Column) -> DataFrame:
+            found = rows.join(near, [key, site], "left")
+            again = found.where(F.col(at)).withColumn(copy, F.row_number().over(Wd.partitionBy(key, site).orderBy(*order)))
+            return found.where(F.col(at).isNull()).withColumn(copy, F.lit(1)).unionByName(again).drop(at)
+
+        placed = numbered(placed, F.col("taken").desc(), F.col("finish"))
+        keyed = numbered(keyed, F.to_json(F.struct(*[F.col(f"`{c}`") for c in kept])))
+    placed = materialise(placed.where("taken > 0"), "placed")
+    joined = keyed.join(F.broadcast(placed) if small(placed, BROADCAST_ROWS) else placed, [key, site, copy])
+    return joined.select(*[F.col(f"`{c}`") for c in kept], "size", "taken", "finish").orderBy("finish")
