@@ -9,26 +9,28 @@ Most stretches of a document can't reach a window: a run of words is only stream
 some item, which is one vectorised look-up for a whole Arrow batch. Words are compared by 64-bit fingerprint.
 
 Scale: documents are scanned once, without a shuffle. The automaton's size follows the benchmark, whose words are
-counted first; a benchmark above ``shard_words`` is cut into shards with one automaton each, and the documents' rows
-pass through one after the other, so that no task holds more than one shard's automaton.
+counted first; a benchmark above ``shard_words`` is cut into shards with one automaton each. A task tokenises a piece of
+text once and asks one shard after the other, holding one at a time; the more shards, the larger the piece.
 
 Defined cases: a null or empty text has no words and is clean; a null or wordless item has no windows; a null item_id
-is left out of ``items`` names but its windows still count as hits; rows with the same item_id are one item; repeated
-document rows each get their row; extra columns are ignored.
+is left out of ``items`` names but its windows still count as hits; rows with the same item_id are one item; an empty
+benchmark hits nothing; coverage at the limit exactly counts; very long texts are read whole; repeated document rows each
+get their row; an empty table has no rows; extra columns are ignored by ``report`` and stay in ``remove``.
 """
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .scratch import fresh, only_columns
+from .scratch import fresh, only_columns, opened, ship
 
 WINDOW = 13
 MIN_COVERAGE = 0.05
@@ -121,8 +123,8 @@ class SuffixAutomaton:
                 at = self.ending[self.link[at]]
 
 
-def build(items: list[tuple[int | None, str | None]], window: int) -> bytes | None:
-    """The pickled automaton of some items, with what the vectorised look-up needs; None if they hold no word."""
+def build(items: list[tuple[int | None, str | None]], window: int) -> tuple | None:
+    """The automaton of some items, with what the vectorised look-up needs; None if they hold no word."""
     by_name: dict[str | None, int] = {}
     sequences = [(by_name.setdefault(None if name is None else str(name), len(by_name)), words) for (name, _), words in zip(items, W.of_texts([text for _, text in items], W.ALNUM), strict=True) if len(words)]
     if not sequences:
@@ -137,7 +139,7 @@ def build(items: list[tuple[int | None, str | None]], window: int) -> bytes | No
     automaton.link_shorts()
     pairs = np.unique(np.concatenate([pair_codes(seq) for _, seq in ids]))
     shortest = min(min(len(seq), window) for _, seq in ids)
-    return pickle.dumps((automaton, vocabulary, pairs, shortest, list(by_name)))
+    return automaton, vocabulary, pairs, shortest, list(by_name)
 
 
 def pair_codes(ids: np.ndarray) -> np.ndarray:
@@ -188,22 +190,22 @@ _HITS = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 MADE = ("n_words", "hits", "items")
 
 
-def _scanner(model, text: str, window: int, made_names: tuple[str, str, str]):
+def _scanner(shards: list, text: str, window: int, made_names: tuple[str, str, str]):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n_words_name, hits_name, items_name = made_names
-        automaton, vocabulary, pairs, shortest, names = pickle.loads(model.value)
-        for batch in W.pieces(batches, text):
+        for batch in W.pieces(batches, text, (4 << 20) * min(max(1, len(shards)), 16)):
             words, at = W.fingerprints(batch.column(text), W.ALNUM)
-            hits: list[list] = [[(x["begin"], x["end"]) for x in row or []] for row in batch.column(hits_name).to_pylist()]
-            items: list[set] = [set(row or []) for row in batch.column(items_name).to_pylist()]
-            if len(words):
-                for row, first, ids in stretches(words, at, vocabulary, pairs, shortest):
-                    for b, e, which in automaton.hits(ids.tolist(), window):
-                        if hits[row] and hits[row][-1][0] <= first + b <= hits[row][-1][1]:
-                            hits[row][-1] = (hits[row][-1][0], max(hits[row][-1][1], first + e))
-                        else:
-                            hits[row].append((first + b, first + e))
-                        items[row].update(names[i] for i in which if names[i] is not None)
+            hits: list[list] = [[] for _ in range(batch.num_rows)]
+            items: list[set] = [set() for _ in range(batch.num_rows)]
+            for shard in shards if len(words) else []:
+                with opened(shard, keep=len(shards) == 1) as (automaton, vocabulary, pairs, shortest, names):
+                    for row, first, ids in stretches(words, at, vocabulary, pairs, shortest):
+                        for b, e, which in automaton.hits(ids.tolist(), window):
+                            if hits[row] and hits[row][-1][0] <= first + b <= hits[row][-1][1]:
+                                hits[row][-1] = (hits[row][-1][0], max(hits[row][-1][1], first + e))
+                            else:
+                                hits[row].append((first + b, first + e))
+                            items[row].update(names[i] for i in which if names[i] is not None)
             merged = [[{"begin": b, "end": e} for b, e in _merge(row)] for row in hits]
             made = {n_words_name: pa.array(np.diff(at)), hits_name: pa.array(merged, _HITS), items_name: pa.array([sorted(s) for s in items], pa.list_(pa.string()))}
             yield pa.RecordBatch.from_arrays([made.get(n, batch.column(n)) for n in batch.schema.names], names=batch.schema.names)
@@ -218,18 +220,13 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
     # A word takes at least two characters with its separator, so this bounds the words without tokenising.
     n_shards = 1 + (items.agg(F.sum(F.length("item_text"))).first()[0] or 0) // (2 * shard_words)
     out = docs.withColumns(dict(zip(names, (F.lit(None).cast("long"), F.lit(None).cast("array<struct<begin:long,end:long>>"), F.lit(None).cast("array<string>")), strict=True)))
-    schema = out.schema
-    scanned = False
+    shards = []
     for shard in range(n_shards):
         part = items if n_shards == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_shards)) == shard)
         model = build([tuple(r) for r in part.collect()], window)
         if model is not None:
-            out = out.mapInArrow(_scanner(spark.sparkContext.broadcast(model), text, window, names), schema)
-            scanned = True
-    if not scanned:
-        nothing = spark.sparkContext.broadcast(pickle.dumps((SuffixAutomaton(), np.zeros(1, np.uint64), np.zeros(0, np.uint64), window, [])))
-        out = out.mapInArrow(_scanner(nothing, text, window, names), schema)
-    return out
+            shards.append(ship(spark, model))
+    return out.mapInArrow(_scanner(shards, text, window, names), out.schema)
 
 
 def n_hit(hits: str = "hits") -> Column:
@@ -237,8 +234,9 @@ def n_hit(hits: str = "hits") -> Column:
 
 
 def contaminated(n_hit: Column, n_words: Column, min_coverage: float = MIN_COVERAGE) -> Column:
-    """Whether hit words are at least ``min_coverage`` of all; 0.05 is the same as 20 * n_hit >= n_words."""
-    return (n_hit > 0) & (n_hit * F.lit(round(1 / min_coverage)) >= n_words)
+    """Whether hit words are at least ``min_coverage`` of all, in whole numbers; 0.05 is the same as 20 * n_hit >= n_words."""
+    share = Fraction(str(min_coverage))
+    return (n_hit > 0) & (n_hit * F.lit(share.denominator) >= n_words * F.lit(share.numerator))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, **more) -> DataFrame:
@@ -268,7 +266,11 @@ def cut_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", min_wor
     scanned = scan(docs, benchmark, text, names=names, **more)
     kept = scanned.where(~contaminated(n_hit(hits), F.col(n_words), min_coverage))
     long = F.filter(hits, lambda h: h["end"] - h["begin"] >= min_words)
-    return kept.withColumn(text, F.when(F.size(long) > 0, F.udf(_cut, "string")(text, long)).otherwise(F.col(text))).drop(*names)
+    return kept.withColumn(text, F.when(F.size(long) > 0, F.pandas_udf(_cut_all, "string")(F.col(f"`{text}`"), F.when(F.size(long) > 0, long))).otherwise(F.col(f"`{text}`"))).drop(*names)
+
+
+def _cut_all(texts: pd.Series, hits: pd.Series) -> pd.Series:
+    return pd.Series([t if h is None else _cut(t, h) for t, h in zip(texts, hits, strict=True)], dtype=object)
 
 
 def _cut(text: str, hits: list) -> str:
