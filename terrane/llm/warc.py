@@ -13,7 +13,8 @@ if their number is below a checked bound and by a join that Spark can split othe
 
 Defined cases: null html is an empty payload; a null url has no target URI; rows of one payload that share the
 largest page_id are all responses; a row without page_id revisits like any other but is never revisited; an empty
-table makes an archive without records; extra columns are ignored.
+table makes an archive without records; very long payloads are records of several pieces; a record that is damaged or
+cut off behind its header is an error and never passed over; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -104,7 +105,7 @@ class _Source:
     """Bytes of a file from a place onwards, read in pieces and let go behind the reader."""
 
     def __init__(self, file, at: int, size: int, piece: int = 1 << 20) -> None:
-        self.file, self.base, self.size, self.piece, self.data = file, at, size, piece, b""
+        self.file, self.base, self.size, self.piece, self.data = file, at, size, piece, bytearray()
 
     def until(self, end: int) -> bool:
         """Have all bytes before ``end``, if the file has them."""
@@ -118,20 +119,20 @@ class _Source:
 
     def drop(self, at: int) -> None:
         if at - self.base > self.piece:
-            self.data = self.data[at - self.base :]
+            del self.data[: at - self.base]
             self.base = at
 
 
 def _decode(source: _Source, at: int) -> tuple[bytes, int] | None:
-    """The content of the member at ``at`` and its end, or None if no record starts there."""
+    """The content of the member at ``at`` and its end, or None if no record starts there; a damaged record is an error."""
     unpack, parts, head, pos = zlib.decompressobj(31), [], b"", at
     try:
         while not unpack.eof:
             step = 1 << 14 if len(head) < 7 else source.piece
             source.until(pos + step)
-            data = memoryview(source.data)[pos - source.base : pos - source.base + step]
+            data = bytes(source.data[pos - source.base : pos - source.base + step])
             if not data:
-                return None
+                break
             parts.append(unpack.decompress(data))
             pos += len(data) - len(unpack.unused_data)
             if len(head) < 7:
@@ -139,8 +140,12 @@ def _decode(source: _Source, at: int) -> tuple[bytes, int] | None:
                 if not b"WARC/1.".startswith(head[:7]):
                     return None
     except zlib.error:
+        pass
+    if len(head) < 7:
         return None
-    return (b"".join(parts), pos) if len(head) >= 7 else None
+    if not unpack.eof:
+        raise ValueError(f"the record at byte {at} is damaged or cut off")
+    return b"".join(parts), pos
 
 
 def records_in(file, size: int, begin: int, end: int) -> Iterator[bytes]:
