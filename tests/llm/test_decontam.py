@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from terrane.llm import decontam as D
 
 RX = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -62,3 +64,11 @@ def test_removal_and_spans(spark):
     assert sorted(r.doc_id for r in D.remove(d, b).collect()) == [2, 3]
     cut = {r.doc_id: r.text for r in D.cut_spans(d, b).collect()}
     assert cut == {2: "clean " * 30, 3: "free " * 500 + "[] end"}
+
+
+def test_coverage_limits_in_whole_numbers(spark):
+    rows = spark.createDataFrame([(45, 100), (40, 100), (39, 100), (75, 100), (70, 100), (69, 100), (1, 3), (0, 0)], "n_hit long, n_words long")
+    hold = lambda share: {(r.n_hit, r.n_words) for r in rows.where(D.contaminated(F.col("n_hit"), F.col("n_words"), share)).collect()}
+    assert hold(0.4) == {(45, 100), (40, 100), (75, 100), (70, 100), (69, 100)}
+    assert hold(0.7) == {(75, 100), (70, 100)}
+    assert hold(0.05) == {(45, 100), (40, 100), (39, 100), (75, 100), (70, 100), (69, 100), (1, 3)}

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from terrane.llm import ann, line_dedup, mixing, warc
 
 
-def test_line_dedup(spark):
+def test_line_dedup(spark, monkeypatch):
     rnd = random.Random(5)
     lines = ["menu", " menu ", "", "about us", "x", "y", "z"] + [f"own {i}" for i in range(30)]
     docs = [(i, rnd.choice(["a", "b", None]), None if i % 17 == 0 else "\n".join(rnd.choice(lines) for _ in range(rnd.randint(0, 6)))) for i in range(80)] + [(3, "a", "menu\nown 1")] * 2
@@ -32,10 +32,9 @@ def test_line_dedup(spark):
         want.append((i, s, "\n".join(kept), 1, len(t.split("\n")), len(t.split("\n")) - len(kept)))
     assert gone
     for most in (line_dedup.BROADCAST_LINES, 0):
-        line_dedup.BROADCAST_LINES = most
+        monkeypatch.setattr(line_dedup, "BROADCAST_LINES", most)
         got = [tuple(r) for r in line_dedup.drop_boilerplate(d, ratio=0.1, min_pages=3).collect()]
         assert sorted(got, key=repr) == sorted(want, key=repr)
-    line_dedup.BROADCAST_LINES = 1_000_000
     assert line_dedup.report(d.limit(0)).collect() == []
 
 
@@ -127,6 +126,31 @@ def test_large_members_and_false_magic():
             assert [p for p in found if p != b"inner"] == [payload] * 2
 
 
+def test_damaged_members_are_errors():
+    class At:
+        def __init__(self, data):
+            self.data = data
+
+        def read_at(self, n, at):
+            return self.data[at : at + n]
+
+    member = warc.gzip_member(warc.record(1, "u", np.random.default_rng(0).bytes(50_000), None, False))
+    broken = member[:30_000] + b"\xff\xff" + member[30_002:]
+    for data in (broken, member[:30_000]):
+        with pytest.raises(ValueError, match="damaged"):
+            list(warc.records_in(At(data), len(data), 0, len(data)))
+
+
+def test_repeated_rows_share_what_the_mix_takes(spark):
+    rows = [(1, "a", "one two three four five", "x"), (1, "a", "one two three four five", "y"), (2, "a", "six", "z"), (3, "b", "seven eight nine ten", "w"), (None, None, "p q", "v"), (None, None, "p q", "v")]
+    d = spark.createDataFrame(rows, "doc_id long, source string, text string, key string")
+    whole = sum(r.taken for r in mixing.mix(d).collect())
+    for n in (1, 4):
+        got = mixing.mixed_documents(d.repartition(n)).collect()
+        assert sum(r.taken for r in got) == whole and len(got) <= len(rows)
+        assert all(r.taken <= 2 * r["size"] for r in got)
+
+
 def exact(rows, queries, k):
     out = []
     ok = {i: np.array(v) for i, v in rows if v is not None and len(v) == 16 and all(x is not None and np.isfinite(x) for x in v) and any(v)}
