@@ -148,7 +148,8 @@ class Store:
             self.shards.append(ship(table.sparkSession, (keys[order], np.array(part.column("value"), dtype=np.float32)[order])))
 
     def look(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        asked = asked.view(np.int64)
+        # In order, so that neighbouring searches read the same memory.
+        asked, back = np.unique(asked.view(np.int64), return_inverse=True)
         value, known = np.zeros(len(asked)), np.zeros(len(asked), bool)
         for i, shard in enumerate(self.shards):
             mine = np.arange(len(asked)) if self.n == 1 else np.flatnonzero(asked % self.n == i)
@@ -157,7 +158,7 @@ class Store:
                     where = np.minimum(np.searchsorted(keys, asked[mine]), len(keys) - 1)
                     hit = keys[where] == asked[mine]
                     value[mine[hit]], known[mine[hit]] = values[where[hit]], True
-        return value, known
+        return value[back], known[back]
 
     @property
     def piece(self) -> int:
