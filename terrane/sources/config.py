@@ -1,54 +1,84 @@
-"""Layered configuration: files that extend others, environment references, strict keys."""
+"""Layered settings: files that extend others, references to the environment, no key that isn't known.
+
+Layers are tables of leaves, each named by its path, so that laying one over another is a union of tables in which the
+later layer's leaves take the place of whatever stood at, above or below them.
+"""
 
 from __future__ import annotations
 
+import json
 import os
-import re
-from collections.abc import Mapping
-from dataclasses import dataclass, field, fields, is_dataclass
+from collections.abc import Iterator, Mapping
 from pathlib import Path
-
-REFERENCE = re.compile(r"\$\{([A-Za-z_][A-Za-z0-9_]*)(?::-([^}]*))?\}")
-
-
-@dataclass
-class Hyper:
-    k_exhausted_attempts: int = 10
-    tau_density: int = 50
-    delta_min_distance: float = 0.2
-    r_refinement_rounds: int = 3
-    bootstrap_cells_per_family: int = 3
-    bootstrap_patience: int = 3
+from types import SimpleNamespace
+
+# The settings' names and defaults.
+DEFAULTS = {
+    ("budget",): 15_000,
+    ("workers",): 1,
+    ("seed",): 0,
+    ("hyper", "k_exhausted_attempts"): 10,
+    ("hyper", "tau_density"): 50,
+    ("hyper", "delta_min_distance"): 0.2,
+    ("hyper", "r_refinement_rounds"): 3,
+    ("hyper", "bootstrap_cells_per_family"): 3,
+    ("hyper", "bootstrap_patience"): 3,
+}
+
+Leaves = dict[tuple[str, ...], object]
+
+
+def filled(text: str, env: Mapping[str, str]) -> str:
+    """``text`` with ``${NAME}`` and ``${NAME:-default}`` replaced; a variable that is set but empty stays empty."""
+    done, rest = "", text
+    while True:
+        before, opened, rest = rest.partition("${")
+        done += before
+        if not opened:
+            return done
+        inside, closed, behind = rest.partition("}")
+        name, _, default = inside.partition(":-")
+        if closed and name.isascii() and name.isidentifier():
+            done, rest = done + env.get(name, default), behind
+        else:
+            done += opened
+
+
+def _all_filled(value, env: Mapping[str, str]):
+    if isinstance(value, str):
+        return filled(value, env)
+    return [_all_filled(v, env) for v in value] if isinstance(value, list) else {k: _all_filled(v, env) for k, v in value.items()} if isinstance(value, dict) else value
 
 
-@dataclass
-class RunConfig:
-    budget: int = 15_000
-    workers: int = 1
-    seed: int = 0
-    hyper: Hyper = field(default_factory=Hyper)
+def leaves(tree: Mapping, above: tuple[str, ...] = ()) -> Iterator[tuple[tuple[str, ...], object]]:
+    """Every value that isn't a mapping, by its path."""
+    for name, value in tree.items():
+        if isinstance(value, Mapping):
+            yield from leaves(value, (*above, name))
+        else:
+            yield (*above, name), value
 
 
-def expanded(value, env: Mapping[str, str] | None = None):
-    """``value`` with environment references filled in; one that is set but empty stays empty."""
-    env = os.environ if env is None else env
-    if isinstance(value, str):
-        return REFERENCE.sub(lambda m: env.get(m[1], m[2] or ""), value)
-    if isinstance(value, dict):
-        return {k: expanded(v, env) for k, v in value.items()}
-    return [expanded(v, env) for v in value] if isinstance(value, list) else value
+def over(below: Leaves, above: Leaves) -> Leaves:
+    """``below`` under ``above``."""
+    hidden = {path[:n] for path in above for n in range(1, len(path) + 1)}
+    kept = {path: v for path, v in below.items() if path not in hidden and not any(path[:n] in above for n in range(1, len(path)))}
+    return kept | above
 
 
-def merged(base: dict, over: dict) -> dict:
-    """``base`` with ``over`` laid on top, mapping by mapping."""
-    both = {k: merged(base[k], v) if isinstance(v, dict) and isinstance(base.get(k), dict) else v for k, v in over.items()}
-    return base | both
+def nested(flat: Leaves) -> dict:
+    """The tree of a table of leaves."""
+    tree: dict = {}
+    for path, value in flat.items():
+        at = tree
+        for name in path[:-1]:
+            at = at.setdefault(name, {})
+        at[path[-1]] = value
+    return tree
 
 
 def parse(text: str) -> dict:
     """A mapping from JSON, or from YAML where a YAML parser is installed."""
-    import json
-
     try:
         return json.loads(text)
     except json.JSONDecodeError:
@@ -59,25 +89,38 @@ def parse(text: str) -> dict:
         return yaml.safe_load(text) or {}
 
 
-def load(path: str | Path, env: Mapping[str, str] | None = None) -> dict:
-    """A configuration file on top of the one it extends."""
-    got = parse(Path(path).read_text())
-    parent = got.pop("extends", None)
-    got = expanded(got, env)
-    return merged(load(Path(path).parent / parent, env), got) if parent else got
-
+def layers(path: str | Path) -> list[dict]:
+    """A file's tree and those it extends, the deepest first."""
+    found, at = [], Path(path)
+    while at is not None:
+        tree = parse(at.read_text())
+        parent = tree.pop("extends", None)
+        found.insert(0, tree)
+        at = at.parent / parent if parent else None
+    return found
 
-def build(kind, data: dict):
-    """A dataclass from a mapping; unknown keys are an error."""
-    known = {f.name: f for f in fields(kind)}
-    if unknown := set(data) - set(known):
-        raise ValueError(f"unknown keys for {kind.__name__}: {', '.join(sorted(unknown))}")
-    default = kind()
-    return kind(**{k: build(type(getattr(default, k)), v) if is_dataclass(getattr(default, k)) else v for k, v in data.items()})
 
-
-def run_config(path: str | Path, overrides: dict | None = None) -> RunConfig:
-    return build(RunConfig, merged(load(path), overrides or {}))
+def load(path: str | Path, env: Mapping[str, str] | None = None) -> dict:
+    """The tree of a file over those it extends."""
+    flat: Leaves = {}
+    for tree in layers(path):
+        flat = over(flat, dict(leaves(_all_filled(tree, os.environ if env is None else env))))
+    return nested(flat)
+
+
+def settings(*trees: Mapping, defaults: Leaves = DEFAULTS) -> SimpleNamespace:
+    """The settings with each tree's values over the defaults and the trees before; an unknown key is an error."""
+    flat = dict(defaults)
+    for tree in trees:
+        given = dict(leaves(tree))
+        if unknown := sorted(".".join(path) for path in given if path not in defaults):
+            raise ValueError(f"unknown keys: {', '.join(unknown)}")
+        flat = over(flat, given)
+
+    def spaced(tree: dict) -> SimpleNamespace:
+        return SimpleNamespace(**{k: spaced(v) if isinstance(v, dict) else v for k, v in tree.items()})
+
+    return spaced(nested(flat))
 
 
 def version_mismatches(expected: Mapping[str, str], actual: Mapping[str, str]) -> list[str]:
