@@ -116,13 +116,12 @@ def no_new_streak(events: DataFrame, rows_per_range: int = curate.ROWS_PER_RANGE
 
 
 def run_summary(events: DataFrame, cells: DataFrame, k: int = K_ATTEMPTS) -> DataFrame:
-    accepted = events.where("accepted")
-    base = events.agg(F.count("*").alias("iterations"), F.count_if("accepted").alias("accepted"))
-    return (
-        base.crossJoin(accepted.agg(F.count_distinct("cell_key").alias("covered")))
-        .crossJoin(attempts(events, k).agg(F.count("exhausted_at").alias("exhausted")))
-        .crossJoin(cells.agg(F.count("*").alias("admissible")))
-    )
+    """iterations, accepted, stage (of the last iteration), covered, exhausted and admissible, in one row."""
+    one = F.lit(1).alias("_row")
+    accepted = F.count_if("accepted").alias("accepted")
+    base = events.agg(F.count("*").alias("iterations"), accepted, F.max_by("stage", "iteration").alias("stage"), F.count_distinct(F.when(F.col("accepted"), F.col("cell_key"))).alias("covered"), one)
+    spent = attempts(events, k).agg(F.count("exhausted_at").alias("exhausted"), one)
+    return base.join(spent, "_row").join(cells.agg(F.count("*").alias("admissible"), one), "_row").drop("_row")
 
 
 def memory_lookup(memory: DataFrame, requests: DataFrame, k: int) -> DataFrame:

@@ -13,6 +13,7 @@ from collections import Counter
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from terrane.operators import atlas, coverage
 
@@ -61,7 +62,12 @@ class Scheduler:
 
     @classmethod
     def resume(cls, spark: SparkSession, archive: DataFrame, events: DataFrame, **more) -> Scheduler:
-        """A scheduler over recorded tables; the stage is the furthest that the log has seen."""
+        """A scheduler over recorded tables; the stage is the furthest that the log has seen.
+
+        Of bootstrapping, the family is the last iteration's target's, and the streak counts the iterations on it since
+        the last that covered a new cell; everything is aggregated from the log (iteration, stage, target_key, accepted,
+        cell_key) and the archive, which gives what a snapshot of the state holds.
+        """
         state = State()
         state.samples = Counter({r.cell_key: r.samples for r in coverage.cell_counts(archive).collect()})
         k = more.get("k_attempts", 10)
@@ -72,6 +78,16 @@ class Scheduler:
         seen = {r.stage: r["count"] for r in events.groupBy("stage").count().collect()}
         state.iterations = sum(seen.values())
         state.stage = max((s for s in seen if s in STAGES), key=STAGES.index, default=STAGES[0])
+        first = events.where("accepted").groupBy("cell_key").agg(F.min("iteration").alias("iteration")).select("iteration", F.lit(True).alias("new"))
+        boot = events.where(F.col("stage") == STAGES[0]).select("iteration", F.substring_index("target_key", "|", 1).alias("family"))
+        last = boot.agg(F.max_by("family", "iteration").alias("family")).first().family
+        if state.stage != STAGES[0]:
+            state.family_index = len(atlas.FAMILIES)
+        elif last is not None:
+            state.family_index = list(atlas.FAMILIES).index(last)
+            marked = boot.join(first, "iteration", "left")
+            since = marked.agg(F.max(F.when((F.col("family") != last) | F.col("new"), F.col("iteration"))).alias("at")).first().at
+            state.no_new_streak = boot.where(F.lit(True) if since is None else F.col("iteration") > since).count()
         return cls(spark, state, **more)
 
     def _draw(self, options: list[str]) -> str:
