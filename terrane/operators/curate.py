@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from terrane import shared
 from terrane.functions import text as T
 from terrane.operators import atlas
 
@@ -51,16 +52,19 @@ def keep_first(df: DataFrame, by: Column, order: str = "seq") -> DataFrame:
 def numbered(df: DataFrame, order: Column, name: str, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """``df`` with its 0-based position in the order of a numeric column.
 
-    Ranges of about ``rows_per_range`` rows are numbered each by itself and start at the rows of the ranges before, so
-    that no task sorts everything.
+    Rows are dealt to ranges of about ``rows_per_range`` and written to the shared folder with their range, so that it
+    stays theirs. Ranges are numbered each by itself and start at the rows of the ranges before; no task sorts
+    everything, and only the ranges' sizes meet in one.
     """
+    spark = df.sparkSession
     keyed = df.withColumn("_order", order)
-    ranges = max(1, -(-keyed.count() // rows_per_range))
-    cuts = sorted(set(keyed.approxQuantile("_order", [i / ranges for i in range(1, ranges)], 0.01 / ranges))) if ranges > 1 else []
-    place = F.lit(0)
-    for cut in cuts:
-        place = place + (F.col("_order") > cut).cast("int")
-    keyed = keyed.withColumn("_range", place)
+    ranges = -(-keyed.count() // rows_per_range)
+    if ranges <= 1:
+        return keyed.withColumn(name, F.row_number().over(W.partitionBy(F.lit(1)).orderBy("_order")).cast("long") - 1).drop("_order")
+    path = shared.new_path(spark, "ranges")
+    keyed = keyed.repartitionByRange(ranges, "_order").withColumn("_range", F.spark_partition_id())
+    keyed.write.parquet(path)
+    keyed = spark.read.schema(keyed.schema).parquet(path)
     sizes = keyed.groupBy("_range").agg(F.count("*").alias("_n"))
     earlier = W.partitionBy(F.lit(1)).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     starts = sizes.select("_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
