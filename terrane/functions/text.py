@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -226,5 +227,48 @@ def error_lines(text: Column) -> Column:
     return F.filter(plain, lambda line: line.rlike("(?i)error|exception"))
 
 
+def literal(text: Column) -> Column:
+    """A text as a string literal: backslashes, quotes and newlines escaped."""
+    out = text
+    # Backslashes come first, since the others bring new ones.
+    for plain, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n")):
+        out = F.replace(out, F.lit(plain), F.lit(escaped))
+    return F.concat(F.lit('"'), out, F.lit('"'))
+
+
+def literal_set(texts: Column) -> Column:
+    """An array of texts as a set literal, in their order."""
+    return F.concat(F.lit("Set[String]("), F.array_join(F.transform(texts, literal), ", "), F.lit(")"))
+
+
+def literal_map(entries: Column) -> Column:
+    """An array of struct(key, indexes) as the literal of a map from texts to lists of numbers; null indexes are none."""
+    numbers = lambda e: F.array_join(F.transform(F.coalesce(e["indexes"], F.array().cast("array<int>")), lambda i: i.cast("string")), ", ")
+    pair = lambda e: F.concat(literal(e["key"]), F.lit(" -> List[Int]("), numbers(e), F.lit(")"))
+    return F.concat(F.lit("Map[String, List[Int]]("), F.array_join(F.transform(entries, pair), ", "), F.lit(")"))
+
+
+def formatted(code: Column, style: str = "LLVM", seconds: int = 10) -> Column:
+    """Code as clang-format lays it out; as it is where the worker has none or it fails, or gives nothing, or takes too long."""
+
+    @F.pandas_udf("string")
+    def run(codes: pd.Series) -> pd.Series:
+        import shutil
+        import subprocess
+
+        tool = shutil.which("clang-format")
+
+        def one(text):
+            try:
+                done = subprocess.run([tool, f"--style={style}", "--assume-filename=unit.c"], input=text, capture_output=True, text=True, timeout=seconds)
+            except (OSError, subprocess.TimeoutExpired):
+                return text
+            return done.stdout if done.returncode == 0 and done.stdout.strip() else text
+
+        return codes if tool is None else codes.map(lambda c: None if c is None else one(c))
+
+    return run(code)
+
+
 def source_name(language: Column) -> Column:
     return F.when(language == "c++", "unit.cpp").otherwise("unit.c")

@@ -12,28 +12,28 @@ _L = "chr(10)"
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 
-def _docs(s, d, **columns):
-    """id, kind (doc_id modulo 6) and columns made of pieces: {} stands for the text's first line."""
+def _docs(s, d):
+    """doc_id, text, kind (doc_id modulo 6) and plain: the whole text without characters of markup."""
     docs = S.table(s, d, "documents").select("doc_id", "text").withColumn("kind", F.col("doc_id") % 6)
-    return docs.withColumn("line", F.regexp_replace(F.split("text", "\n").getItem(0), "[<>`]", ""))
+    return docs.withColumn("plain", F.translate("text", "<>`", ""))
 
 
-_DOCS = f"docs AS (SELECT doc_id, text, doc_id % 6 AS kind, regexp_replace(string_split(text, {_L})[1], '[<>`]', '', 'g') AS line FROM documents)"
+_DOCS = f"docs AS (SELECT doc_id, text, doc_id % 6 AS kind, translate(text, '<>`', '') AS plain FROM documents)"
 
 
 def _case(pieces: list[str]):
-    """A column that depends on kind; | stands for the line and newlines are real."""
+    """A column that depends on kind; | stands for the whole text and newlines are real."""
     out = None
     for i, p in enumerate(pieces):
         parts = p.split("|")
-        value = F.concat(*[x for k, q in enumerate(parts) for x in ([F.col("line")] if k else []) + [F.lit(q)]])
+        value = F.concat(*[x for k, q in enumerate(parts) for x in ([F.col("plain")] if k else []) + [F.lit(q)]])
         out = F.when(F.col("kind") == i, value) if out is None else out.when(F.col("kind") == i, value)
     return out
 
 
 def _sql_case(pieces: list[str]) -> str:
     quote = lambda q: "'" + q.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
-    return "CASE kind " + " ".join(f"WHEN {i} THEN " + " || line || ".join(quote(q) for q in p.split("|")) for i, p in enumerate(pieces)) + " END"
+    return "CASE kind " + " ".join(f"WHEN {i} THEN " + " || plain || ".join(quote(q) for q in p.split("|")) for i, p in enumerate(pieces)) + " END"
 
 
 TAGGED = ["<fix_summary> | </fix_summary>", "x <FIX_SUMMARY>\n```c\n|\n```\n</Fix_Summary> y <fix_summary>z</fix_summary>", "|", "<fix_summary></fix_summary>|", "<fix_summary>|", "a\n<fix_summary>\n|\nb\n</fix_summary>"]
@@ -81,7 +81,7 @@ QUERIES = {
     "function_name": lambda s, d: _docs(s, d).select("doc_id", T.function_name(_case(CODE)).alias("name")),
     "language_detect": lambda s, d: _docs(s, d).select("doc_id", T.language(_case(CODE)).alias("language")),
     "candidate_parse": _parsed,
-    "candidate_render": lambda s, d: _docs(s, d).select("doc_id", F.sha2(T.render_candidate(F.col("line"), F.lit("b"), F.col("text")), 256).alias("sha")),
+    "candidate_render": lambda s, d: _docs(s, d).select("doc_id", F.sha2(T.render_candidate(F.col("plain"), F.lit("b"), F.col("text")), 256).alias("sha")),
     "unit_splice": lambda s, d: _docs(s, d).select("doc_id", T.unit(F.lit("int f() {\n}"), _case(CONTEXT)).alias("u")).select("doc_id", "u.*"),
     "stack_parse": _report,
     "destructive_scan": lambda s, d: _docs(s, d).select("doc_id", F.array_join(T.destructive(_case(SHELL), F.lit(None).cast("string")), ",").alias("labels")),
@@ -101,7 +101,7 @@ _CPP = T.CPP_HINT.replace("'", "''")
 _DEF = T.DEFINITION.replace("'", "''")
 _NAMES = f"list_filter(list_transform(regexp_extract_all(x, '{_DEF}', 1), lambda n: string_split(n, '::')[-1]), lambda n: n NOT IN ({', '.join(repr(k) for k in T.KEYWORDS)}))[1]"
 _block = lambda tag: f"CASE WHEN regexp_matches(x, '(?is)<{tag}>\\s*(.*?)\\s*</{tag}>') THEN {_fence(f'regexp_extract(x, {chr(39)}(?is)<{tag}>' + chr(92) + 's*(.*?)' + chr(92) + f's*</{tag}>{chr(39)}, 1)')} END"
-_X = lambda pieces: f"WITH {_DOCS}, xs AS (SELECT doc_id, text, line, {_sql_case(pieces)} AS x FROM docs)"
+_X = lambda pieces: f"WITH {_DOCS}, xs AS (SELECT doc_id, text, plain, {_sql_case(pieces)} AS x FROM docs)"
 _MAIN = "(?m)^\\s*int\\s+main\\s*\\("
 _M = "'/* @TARGET_FUNCTION@ */'"
 SQL = {
@@ -117,7 +117,7 @@ SQL = {
         SELECT doc_id, CASE WHEN missing <> '' THEN 'missing blocks: ' || missing WHEN target_name IS NULL THEN 'no function definition'
             WHEN target_name IS DISTINCT FROM other THEN 'patched function is named ' || coalesce(other, 'nothing') || ', expected ' || target_name END AS error, target_name,
             CASE WHEN coalesce(regexp_matches(v, '{_CPP}'), false) OR coalesce(regexp_matches(p, '{_CPP}'), false) OR coalesce(regexp_matches(c, '{_CPP}'), false) THEN 'c++' ELSE 'c' END AS language, sha256(c) AS context_sha, fix_summary FROM q""",
-    "candidate_render": f"WITH {_DOCS} SELECT doc_id, sha256('<vulnerable_function>' || {_L} || line || {_L} || '</vulnerable_function>' || {_L} || '<patched_function>' || {_L} || 'b' || {_L} || '</patched_function>' || {_L} || '<calling_context>' || {_L} || text || {_L} || '</calling_context>') AS sha FROM docs",
+    "candidate_render": f"WITH {_DOCS} SELECT doc_id, sha256('<vulnerable_function>' || {_L} || plain || {_L} || '</vulnerable_function>' || {_L} || '<patched_function>' || {_L} || 'b' || {_L} || '</patched_function>' || {_L} || '<calling_context>' || {_L} || text || {_L} || '</calling_context>') AS sha FROM docs",
     "unit_splice": f"""{_X(CONTEXT)}, s AS (SELECT doc_id, x, instr(x, {_M}) AS spot, length(regexp_extract(x, '(?s)^(.*?)(?:(?m:^)\\s*int\\s+main\\s*\\()', 1)) AS ahead, regexp_matches(x, '{_MAIN}') AS has_main FROM xs),
         b AS (SELECT doc_id, CASE WHEN spot > 0 THEN left(x, spot - 1) WHEN has_main THEN left(x, ahead) ELSE x END AS before, CASE WHEN spot > 0 THEN substr(x, spot + 23) WHEN has_main THEN substr(x, ahead + 1) ELSE '' END AS after FROM s),
         h AS (SELECT doc_id, rtrim(before, {_L}) || {_L} AS head, ltrim(after, {_L}) AS after FROM b)
