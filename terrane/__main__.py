@@ -1,4 +1,4 @@
-"""Command line: atlas, collect, pool, sample, aggregate, jobs."""
+"""Command line: atlas, collect, pool, sample, aggregate, jobs, synthesize, export, check-tools."""
 
 from __future__ import annotations
 
@@ -7,8 +7,8 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.operators import atlas, curate, metrics
-from terrane.sources import readers, writers
+from terrane.operators import atlas, curate, metrics, replay
+from terrane.sources import config, readers, writers
 
 
 def _atlas(spark: SparkSession, a) -> DataFrame:
@@ -30,6 +30,34 @@ def _sample(spark: SparkSession, a) -> DataFrame:
     return curate.augmentation_sample(spark.read.json(a.input), a.n, a.seed, "synthetic")
 
 
+class _Folder:
+    """Recorded output of a run as tables below a folder."""
+
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        for name in ("responses", "evidence", "measurements", "vectors"):
+            setattr(self, name, lambda name=name: spark.read.parquet(f"{root}/{name}"))
+
+
+def _synthesize(spark: SparkSession, a) -> DataFrame:
+    """The outcome of every recorded response; the accepted ones are appended to the archive."""
+    tables = _Folder(spark, a.recorded)
+    delta = config.settings(config.load(a.config) if a.config else {}).hyper.delta_min_distance
+    if a.archive:
+        writers.append(replay.archive(tables, delta), a.archive, "family")
+    return replay.outcomes(tables, delta)
+
+
+def _export(spark: SparkSession, a) -> DataFrame:
+    rows = spark.read.parquet(a.archive)
+    return spark.createDataFrame([(writers.export(rows, a.to),)], "written long")
+
+
+def _check_tools(spark: SparkSession, a) -> DataFrame:
+    expected, actual = config.load(a.expected), config.load(a.actual)
+    wrong = config.version_mismatches(expected, actual)
+    return spark.createDataFrame([(tool, expected[tool], actual.get(tool), tool not in wrong) for tool in sorted(expected)], "tool string, expected string, actual string, ok boolean")
+
+
 def _aggregate(spark: SparkSession, a) -> DataFrame:
     means = metrics.mean_over_seeds(readers.results(spark, a.results), a.metric)
     return metrics.gains(means, a.ours, a.baselines)
@@ -64,6 +92,19 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("baselines", nargs="+")
     p.add_argument("--metric", default="f1", choices=["f1", "precision", "recall"])
     p.set_defaults(run=_aggregate)
+    p = sub.add_parser("synthesize")
+    p.add_argument("recorded", help="a folder with the tables responses, evidence, measurements and vectors")
+    p.add_argument("--archive", help="where accepted samples are appended")
+    p.add_argument("--config")
+    p.set_defaults(run=_synthesize)
+    p = sub.add_parser("export")
+    p.add_argument("archive")
+    p.add_argument("to")
+    p.set_defaults(run=_export)
+    p = sub.add_parser("check-tools")
+    p.add_argument("expected")
+    p.add_argument("actual")
+    p.set_defaults(run=_check_tools)
     p = sub.add_parser("jobs")
     for name in ("detectors", "train-sets", "configs"):
         p.add_argument(f"--{name}", nargs="+", required=True)

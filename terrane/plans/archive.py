@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from terrane.operators import atlas, coverage, curate, diversity, schedule
+from terrane.operators import atlas, coverage, curate, diversity, refine, schedule
 from terrane.plans import stand_ins as S
 from terrane.streaming import jobs
 
@@ -25,6 +25,14 @@ def grid(spark):
     return S.cells(spark).select("cell_key", *atlas.DIMS)
 
 
+def resumed_state(spark, d):
+    """What a scheduler resumes from the whole log, all of it taken as bootstrapping."""
+    log = S.log(spark, d).withColumn("stage", F.lit(schedule.STAGES[0]))
+    s = schedule.Scheduler.resume(spark, S.archive(spark, d), log, budget=1 << 40).state
+    row = (s.stage, s.family_index, s.no_new_streak, s.iterations, sum(s.samples.values()), len(s.samples), sum(s.attempts.values()), len(s.exhausted))
+    return spark.createDataFrame([row], "stage string, family_index long, no_new_streak long, iterations long, samples long, covered long, attempts long, exhausted long")
+
+
 def resumed(spark, d):
     """The next task of a scheduler that resumes from the whole log."""
     s = schedule.Scheduler.resume(spark, S.archive(spark, d), S.log(spark, d), budget=1 << 40, seed=5, tau=1 << 30)
@@ -70,6 +78,9 @@ QUERIES = {
     "greedy_diversity": lambda s, d: diversity.greedy_admission(S.vectors(s, d), DELTA).select("seq", "cell_key", "accepted"),
     "archived_sample_draw": lambda s, d: curate.group_sample(S.archive(s, d).select(F.col("seq").cast("string").alias("id"), "cell_key"), 1, 9, "cell_key"),
     "scheduler_resume": resumed,
+    "scheduler_state": resumed_state,
+    "refinement_iterations": lambda s, d: refine.iterations(S.rounds(s, d)).select("run", F.array_join("history", ",").alias("history"), F.array_join("models", ",").alias("models"), "llm_calls", "rounds", "accepted", "failed_stage"),
+    "refinement_calls": lambda s, d: refine.accounting(S.rounds(s, d)),
     "stream_event_counts": lambda s, d: jobs.drain(jobs.windowed_counts(jobs.events(s, f"{d}/events.parquet")), "counts", "complete").select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("total", 4).alias("total")),
     "stream_greedy_diversity": streamed_vectors,
 }
@@ -80,6 +91,9 @@ _SCORE = "SELECT o.cell_key, o.d1 AS family, count(a.cell_key) AS score FROM {0}
 _TICKET = "sha256('5:11:' || {0})"
 _FAR = "(1 - list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e)) + 1e-12))"
 _VEC = "v AS (SELECT vec_id AS seq, label AS cell_key, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)"
+_FAMILIES = S._list(list(atlas.FAMILIES))
+_CUT = f"""{_W('rounds')}, p AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY round) AS place FROM rounds),
+    cut AS (SELECT * FROM p WHERE place <= 4 QUALIFY coalesce(bool_or(stage = 'accepted') OVER (PARTITION BY run ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) = false)"""
 _GREEDY = f"""WITH RECURSIVE {_VEC}, r AS (SELECT *, row_number() OVER (PARTITION BY cell_key ORDER BY seq) AS k FROM v),
     near AS (SELECT a.cell_key, a.k, list(b.k) AS conflicts FROM r a JOIN r b ON a.cell_key = b.cell_key AND b.k < a.k AND {_FAR} < {DELTA} GROUP BY ALL),
     c AS (SELECT r.cell_key, r.k, coalesce(n.conflicts, []) AS conflicts FROM r LEFT JOIN near n USING (cell_key, k)),
@@ -89,7 +103,7 @@ _GREEDY = f"""WITH RECURSIVE {_VEC}, r AS (SELECT *, row_number() OVER (PARTITIO
     SELECT r.seq, r.cell_key, list_contains(l.kept, r.k) AS accepted FROM r JOIN last l USING (cell_key)"""
 SQL = {
     "atlas_cells": f"{_W('cells')} SELECT ordinal, cell_key, d1, d2, d3, d4, d5 FROM cells",
-    "atlas_summary": f"{_W('grid')} SELECT count(*) AS total, count(*) FILTER (NOT admissible) AS excluded, count(*) FILTER (admissible) AS admissible, 3 AS constraints FROM grid",
+    "atlas_summary": f"{_W('grid')} SELECT count(*) AS total, count(*) FILTER (NOT admissible) AS excluded, count(*) FILTER (admissible) AS admissible, 'd1,d2,d3,d4,d5' AS dims, 'uaf_cannot_be_zero_taint,linear_cannot_be_guarded,exception_cannot_be_guarded' AS constraints FROM grid",
     "subspace_cells": f"{_W('grid')} SELECT DISTINCT d1 || '|' || d2 || '|' || d4 AS cell_key, d1, d2, d4 FROM grid WHERE NOT (d1 = 'use_after_free' AND d2 = 'zero')",
     "family_cells": f"{_W('cells')} SELECT d1 AS family, count(*) AS cells FROM cells GROUP BY d1",
     "atlas_edges": f"{_W('edges')} SELECT src_key, dst_key, dim FROM edges",
@@ -117,8 +131,25 @@ SQL = {
     "coverage_curve": f"{_W('archive')}, f AS (SELECT cell_key, min(seq) AS seq FROM archive GROUP BY cell_key) SELECT seq, cell_key, row_number() OVER (ORDER BY seq) AS covered FROM f",
     "first_in_cell": f"{_W('archive')} SELECT seq, cell_key, seq = min(seq) OVER (PARTITION BY cell_key) AS new_cell FROM archive",
     "export_order": f"{_W('archive')} SELECT cell_key, seq, family, min(seq) OVER (PARTITION BY cell_key) AS first_seq FROM archive",
-    "run_summary": f"""{_W('log')}, {_FAILED} SELECT (SELECT count(*) FROM log) AS iterations, (SELECT count(*) FROM log WHERE accepted) AS accepted, (SELECT count(DISTINCT cell_key) FROM log WHERE accepted) AS covered,
+    "run_summary": f"""{_W('log')}, {_FAILED} SELECT (SELECT count(*) FROM log) AS iterations, (SELECT count(*) FROM log WHERE accepted) AS accepted, (SELECT count(DISTINCT cell_key) FROM log WHERE accepted) AS covered, (SELECT arg_max(stage, iteration) FROM log) AS stage,
         (SELECT count(*) FROM (SELECT 1 FROM failed GROUP BY target_key HAVING count(*) >= 10)) AS exhausted, (SELECT count(*) FROM cells) AS admissible""",
+    "scheduler_state": f"""{_W('log')}, {_FAILED}, f AS (SELECT min(iteration) AS iteration FROM log WHERE accepted GROUP BY cell_key),
+        m AS (SELECT l.iteration, split_part(target_key, '|', 1) AS family, f.iteration IS NOT NULL AS new FROM log l LEFT JOIN f USING (iteration)),
+        t AS (SELECT arg_max(family, iteration) AS family FROM m)
+        SELECT 'bootstrapping' AS stage, list_position({_FAMILIES}, t.family) - 1 AS family_index,
+            (SELECT count(*) FROM m WHERE iteration > coalesce((SELECT max(iteration) FROM m WHERE family <> t.family OR new), -1)) AS no_new_streak,
+            (SELECT count(*) FROM log) AS iterations, (SELECT count(*) FROM log WHERE accepted) AS samples, (SELECT count(DISTINCT cell_key) FROM log WHERE accepted) AS covered,
+            (SELECT count(*) FROM failed) AS attempts, (SELECT count(*) FROM (SELECT 1 FROM failed GROUP BY target_key HAVING count(*) >= 10)) AS exhausted FROM t""",
+    "scheduler_resume": f"""{_W('archive', 'edges')}, {_EXH}, {_OPEN}, s AS ({_SCORE.format('open')}), n AS (SELECT cell_key, count(*) AS samples FROM archive GROUP BY cell_key),
+        k AS (SELECT (SELECT count(*) FROM log) AS iterations, (SELECT count(*) FROM archive) AS samples, (SELECT count(*) FROM exhausted) AS exhausted, (SELECT count(*) FROM open) AS still),
+        e AS (SELECT cell_key, family FROM s, k ORDER BY score DESC, sha256('5:' || k.iterations || ':' || cell_key) LIMIT 1),
+        l AS (SELECT n.cell_key, c.d1 AS family FROM n JOIN cells c USING (cell_key), k WHERE n.samples = (SELECT min(samples) FROM n) ORDER BY sha256('5:' || k.iterations || ':' || cell_key) LIMIT 1)
+        SELECT CASE WHEN still > 0 THEN 'coverage_expansion' ELSE 'densification' END AS stage, CASE WHEN still > 0 THEN 'generate' ELSE 'densify' END AS mode,
+            CASE WHEN still > 0 THEN (SELECT cell_key FROM e) ELSE (SELECT cell_key FROM l) END AS target_key, CASE WHEN still > 0 THEN (SELECT family FROM e) ELSE (SELECT family FROM l) END AS family,
+            iterations, samples, exhausted FROM k""",
+    "refinement_iterations": f"""{_CUT} SELECT run, string_agg(stage, ',' ORDER BY place) AS history, string_agg(model, ',' ORDER BY place) AS models, count(*) AS llm_calls, count(*) - 1 AS rounds,
+        arg_max(stage, place) = 'accepted' AS accepted, nullif(arg_max(stage, place), 'accepted') AS failed_stage FROM cut GROUP BY run""",
+    "refinement_calls": f"{_CUT} SELECT model, count(*) AS calls, count(*) FILTER (place = 1) AS as_generator, count(*) FILTER (place > 1) AS as_refiner FROM cut GROUP BY model",
     "memory_topk": f"""{_W('archive')} SELECT c.d1 AS family, c.cell_key, row_number() OVER (PARTITION BY c.cell_key ORDER BY (a.cell_key = c.cell_key) DESC, a.seq DESC) AS rank, a.seq
         FROM cells c JOIN archive a ON a.family = c.d1 QUALIFY rank <= 3""",
     "round_transitions": f"""{_W('rounds')}, l AS (SELECT *, lag(stage) OVER (PARTITION BY run ORDER BY round) AS previous FROM rounds)

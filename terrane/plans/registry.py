@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrane.plans import archive, evaluation, evidence, loop, pools, texts
+from terrane.plans import archive, evaluation, evidence, formats, loop, pools, texts
 
-_MODULES = (pools, archive, texts, evidence, evaluation, loop)
+_MODULES = (pools, archive, texts, evidence, evaluation, loop, formats)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from terrane.operators import atlas
 
 CWES = ["CWE-119", " cwe-125 ", "787", "CWE-476", "CWE-415", "CWE416", "CWE-190", "CWE-191", "CWE-77", "CWE-78", "CWE-89", "CWE-22", "CWE-401", "CWE-404", "CWE-369", "CWE-134", "CWE-79", None]
+MODELS = ["alpha", "beta", "gamma"]
 FAILED = ["syntax", "weakness", "characterization", "diversity", "accepted"]
 
 
@@ -65,10 +66,11 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rounds(spark: SparkSession, d: str) -> DataFrame:
-    """run, round, stage."""
+    """run, round, stage, model."""
     c = table(spark, d, "conversations").select("conv_id", "turn")
+    model = F.get(F.array(*[F.lit(m) for m in MODELS]), ((F.col("conv_id") + F.col("turn") * 2) % 3).cast("int"))
     stage = F.get(F.array(*[F.lit(s) for s in FAILED]), ((F.col("conv_id") * 7 + F.col("turn") * 3) % 5).cast("int"))
-    return c.select(F.col("conv_id").alias("run"), F.col("turn").alias("round"), stage.alias("stage"))
+    return c.select(F.col("conv_id").alias("run"), F.col("turn").alias("round"), stage.alias("stage"), model.alias("model"))
 
 
 def predictions(spark: SparkSession, d: str) -> DataFrame:
@@ -116,7 +118,7 @@ SQL = {
         CASE WHEN e.value > 60 THEN c.cell_key END AS cell_key, CASE WHEN e.value > 60 THEN c.d1 END AS family
         FROM events e JOIN cells t ON t.ordinal = (e.event_id * e.event_id + e.user_id) % 936 JOIN cells c ON c.ordinal = (e.event_id * 31 + e.user_id) % 936)""",
     "archive": "archive AS (SELECT iteration AS seq, cell_key, family FROM log WHERE accepted)",
-    "rounds": f"rounds AS (SELECT conv_id AS run, turn AS round, {_list(FAILED)}[1 + (conv_id * 7 + turn * 3) % 5] AS stage FROM conversations)",
+    "rounds": f"rounds AS (SELECT conv_id AS run, turn AS round, {_list(FAILED)}[1 + (conv_id * 7 + turn * 3) % 5] AS stage, {_list(MODELS)}[1 + (conv_id + turn * 2) % 3] AS model FROM conversations)",
     "predictions": f"""predictions AS (SELECT l_returnflag AS detector, {_list(TRAIN)}[1 + l_orderkey % 4] AS train_set, {_list(CONFIGS)}[1 + l_partkey % 6] AS config,
         l_linenumber AS seed, {_list(TRAIN)}[1 + (l_orderkey // 4) % 4] AS test_set, CAST(l_linestatus = 'F' AS INT) AS label, CAST(l_discount + l_tax >= 0.09 AS INT) AS pred FROM lineitem)""",
 }

@@ -215,11 +215,70 @@ def test_writers(spark, tmp_path):
 def test_config(tmp_path):
     (tmp_path / "base.json").write_text('{"budget": 5, "hyper": {"tau_density": 7, "k_exhausted_attempts": 3}}')
     (tmp_path / "run.json").write_text('{"extends": "base.json", "seed": 2, "hyper": {"tau_density": 9}}')
-    got = config.run_config(tmp_path / "run.json", {"workers": 4})
+    got = config.settings(config.load(tmp_path / "run.json"), {"workers": 4})
     assert (got.budget, got.seed, got.workers, got.hyper.tau_density, got.hyper.k_exhausted_attempts) == (5, 2, 4, 9, 3)
     with pytest.raises(ValueError, match="unknown keys"):
-        config.build(config.RunConfig, {"nope": 1})
-    assert config.expanded({"a": ["${X:-d}${Y:-e}"]}, {"X": ""}) == {"a": ["e"]}
+        config.settings({"hyper": {"nope": 1}})
+    (tmp_path / "refs.json").write_text('{"a": ["${X:-d}${Y:-e}"], "b": {"c": "${ ${X}${1}${Z"}}')
+    assert config.load(tmp_path / "refs.json", {"X": ""}) == {"a": ["e"], "b": {"c": "${ ${1}${Z"}}
+    below = dict(config.leaves({"a": {"b": 1, "c": 2}, "d": 3}))
+    assert config.nested(config.over(below, dict(config.leaves({"a": {"b": 4}, "d": {"e": 5}})))) == {"a": {"b": 4, "c": 2}, "d": {"e": 5}}
+    assert config.nested(config.over(below, {("a",): 6})) == {"a": 6, "d": 3}
+
+
+def test_numbers_over_ranges(spark):
+    rows = [(i * 7919 % 5000, i % 3) for i in range(5000)]
+    df = spark.createDataFrame(rows, "seq long, _n int").repartition(7)
+    for size in (10_000, 300):
+        got = {r.seq: r.place for r in curate.numbered(df, F.col("seq"), "place", size).collect()}
+        assert got == {i: i for i in range(5000)}
+    assert curate.numbered(df.limit(0), F.col("seq"), "place", 300).collect() == []
+
+
+def test_scheduler_resumes_what_a_snapshot_holds(spark):
+    rnd = np.random.default_rng(3)
+    s = schedule.Scheduler(spark, budget=10**6, seed=4, cells_per_family=3, patience=2)
+    log = []
+    for i in range(60):
+        task = s.next()
+        cell = task.target if rnd.random() < 0.4 else None
+        s.observe(task, cell)
+        log.append((i, task.stage, task.target, cell is not None, cell))
+        if i % 6 == 5:
+            events = spark.createDataFrame(log, "iteration long, stage string, target_key string, accepted boolean, cell_key string")
+            archive = events.where("accepted").select(F.col("iteration").alias("seq"), "cell_key")
+            back = schedule.Scheduler.resume(spark, archive, events, budget=10**6, seed=4, cells_per_family=3, patience=2)
+            if s.state.stage == schedule.STAGES[0]:
+                assert (back.state.family_index, back.state.no_new_streak) == (s.state.family_index, s.state.no_new_streak)
+            assert (back.state.stage, back.state.samples, back.state.iterations) == (s.state.stage, +s.state.samples, s.state.iterations)
+            assert vars(schedule.State.from_json(s.state.to_json())) == vars(s.state)
+            assert back.next() == schedule.Scheduler(spark, schedule.State.from_json(s.state.to_json()), budget=10**6, seed=4, cells_per_family=3, patience=2).next()
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from terrane import __main__ as cli
+    from terrane.plans import loop
+
+    tables = loop.Tables(spark, "/root/testdata/sf0.001")
+    for name in ("responses", "evidence", "measurements", "vectors"):
+        getattr(tables, name)().write.parquet(str(tmp_path / "recorded" / name))
+    # The commands' session is the tests'.
+    run = lambda *args: (cli.main([str(a) for a in args]), [json.loads(x) for x in capsys.readouterr().out.splitlines()])[1]
+    outcomes = run("synthesize", tmp_path / "recorded", "--archive", tmp_path / "archive")
+    accepted = sum(r["check"] == "accepted" for r in outcomes)
+    assert accepted and len(outcomes) == tables.responses().count()
+    assert run("export", tmp_path / "archive", tmp_path / "out") == [{"written": accepted}]
+    assert spark.read.json(str(tmp_path / "out")).count() == accepted
+    (tmp_path / "want.json").write_text('{"a": "1.2", "b": "3"}')
+    (tmp_path / "have.json").write_text('{"a": "v1.2.3"}')
+    assert [r["ok"] for r in run("check-tools", tmp_path / "want.json", tmp_path / "have.json")] == [True, False]
+
+
+def test_formatting_without_the_tool(spark, monkeypatch):
+    monkeypatch.setenv("PATH", "/nonexistent")
+    rows = spark.createDataFrame([("int f(){return 0;}",), (None,)], "code string")
+    got = [r.c for r in rows.select(T.formatted(F.col("code")).alias("c")).collect()]
+    assert got[1] is None and "return 0;" in got[0]
 
 
 def test_streams_equal_batch(spark, tmp_path):
