@@ -74,7 +74,7 @@ QUERIES = {
     "memory_topk": lambda s, d: coverage.memory_lookup(memory(s, d), grid(s).select(F.col("d1").alias("family"), "cell_key"), 3),
     "round_transitions": lambda s, d: coverage.round_transitions(S.rounds(s, d), S.FAILED),
     "rounds_per_run": lambda s, d: S.rounds(s, d).groupBy("run").agg(F.count("*").alias("checks"), (F.count("*") - 1).alias("refinements")),
-    "pairwise_min_distance": lambda s, d: diversity.nearest_earlier(S.vectors(s, d), 4).select("seq", "cell_key", F.round("distance", 6).alias("distance")),
+    "pairwise_min_distance": lambda s, d: diversity.nearest_earlier(S.vectors(s, d)).select("seq", "cell_key", F.round("distance", 6).alias("distance")),
     "greedy_diversity": lambda s, d: diversity.greedy_admission(S.vectors(s, d), DELTA).select("seq", "cell_key", "accepted"),
     "archived_sample_draw": lambda s, d: curate.group_sample(S.archive(s, d).select(F.col("seq").cast("string").alias("id"), "cell_key"), 1, 9, "cell_key"),
     "scheduler_resume": resumed,

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from terrane.operators import diversity
 from terrane.shared import new_path
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -43,20 +44,13 @@ class Admission(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values("seq", kind="stable")
-        kept = [np.asarray(v[0]) for v in self.kept.get()] if self.kept.exists() else []
-        out, new = [], []
-        for seq, vector in zip(batch["seq"], batch["embedding"], strict=True):
-            unit = np.asarray(vector, dtype=float)
-            unit = unit / (np.linalg.norm(unit) + 1e-12)
-            near = 1 - max(float(unit @ v) for v in kept) if kept else None
-            fine = near is None or near >= self.delta
-            out.append((seq, key[0], fine))
-            if fine:
-                kept.append(unit)
-                new.append((unit.tolist(),))
-        if new:
-            self.kept.appendList(new)
-        yield pd.DataFrame(out, columns=["seq", "cell_key", "accepted"])
+        units = diversity.unit_vectors(batch["embedding"])
+        before = [np.asarray(v[0]) for v in self.kept.get()] if self.kept.exists() else []
+        kept = np.array(before) if before else np.empty((0, units.shape[1]))
+        accepted, _, kept = diversity.admitted(units, kept, self.delta)
+        if len(kept) > len(before):
+            self.kept.appendList([(v,) for v in kept[len(before) :].tolist()])
+        yield pd.DataFrame({"seq": batch["seq"].to_numpy(), "cell_key": key[0], "accepted": accepted})
 
     def close(self) -> None:
         pass

@@ -90,8 +90,8 @@ def test_greedy_admission_properties(spark):
         assert out[i].accepted == (near is None or near >= 0.1)
         if out[i].accepted:
             kept.setdefault(c, []).append(i)
-    for blocks in (1, 5):
-        got = {r.seq: r.distance for r in diversity.nearest_earlier(df, blocks).collect()}
+    for block in (diversity.BLOCK, 70):
+        got = {r.seq: r.distance for r in diversity.nearest_earlier(df, block).collect()}
         assert len(got) == 900 and all((got[i] is None) == (i < 3) for i in got)
         for i, c, _ in rows[3:60]:
             assert abs(got[i] - min(1 - unit[i] @ unit[j] for j, d, _ in rows[:i] if c == d)) < 1e-6
