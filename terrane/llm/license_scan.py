@@ -164,5 +164,30 @@ def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
         F.array_max(at).cast("long").alias("last_word"),
         labels(base).alias("base_labels"),
         labels(F.col("found")).alias("labels"),
-        F.coalesce(F.array_max(F.transform("found", lambda f: f["coverage"])), F.lit(0.0)).alias("score"),
+        F.round(F.coalesce(F.array_max(F.transform("found", lambda f: f["coverage"])), F.lit(0.0)), 6).alias("score"),
     )
+
+
+def _rows(values: list[tuple]) -> str:
+    quoted = lambda v: "[" + ", ".join(f"'{w}'" for w in v) + "]" if isinstance(v, list) else f"'{v}'" if isinstance(v, str) else str(v)
+    return ", ".join("(" + ", ".join(quoted(v) for v in row) + ")" for row in values)
+
+
+def oracle_sql() -> str:
+    """The same rows by a search of every phrase at every word, for small tables."""
+    known, _ = notices(0, {})
+    table = [(i, n["label"], n["base"], [e["w"] for e in n["all"]], [k["w"] for k in sorted(n["key"], key=lambda k: k["at"])], -n["all"][0]["at"]) for i, n in enumerate(known)]
+    return f"""
+WITH notice AS (SELECT * FROM (VALUES {_rows(table)}) t(notice, label, base, every, phrase, ahead)),
+doc AS (SELECT row_number() OVER () AS r, doc_id, text, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+held AS (SELECT word, count(*) AS df FROM (SELECT DISTINCT r, unnest(string_split_regex(lower(coalesce(text, '')), '{SEPARATORS}')) AS word FROM doc) GROUP BY word),
+idf AS (SELECT word, ln(((SELECT count(*) FROM doc) + 1) / (coalesce(df, 0) + 0.5)) AS idf FROM (SELECT DISTINCT unnest(every) AS word FROM notice) LEFT JOIN held USING (word)),
+part AS (SELECT notice, ahead, j - 1 - ahead AS spot, every[j] AS word, idf FROM (SELECT notice, ahead, every, unnest(range(1, len(every) + 1)) AS j FROM notice) JOIN idf ON word = every[j]),
+place AS (SELECT r, notice, label, base, i - 1 AS spot FROM (SELECT r, w, notice, label, base, phrase, unnest(range(1, len(w) - len(phrase) + 2)) AS i FROM doc JOIN notice ON list_has_all(w, phrase)) WHERE w[i:i + len(phrase) - 1] = phrase),
+cover AS (SELECT p.r, p.notice, p.spot, sum(CASE WHEN p.spot + t.spot >= 0 AND d.w[p.spot + t.spot + 1] = t.word THEN t.idf ELSE 0 END) / sum(t.idf) AS covered FROM place p JOIN part t USING (notice) JOIN doc d USING (r) GROUP BY ALL),
+summed AS (SELECT r, count(*) FILTER (base) AS n_base, min(spot) FILTER (base) AS first_word, max(spot) FILTER (base) AS last_word,
+           string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels,
+           max(CASE WHEN base THEN 0.5 ELSE least(1.0, covered) END) AS score FROM place JOIN cover USING (r, notice, spot) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+       coalesce(labels, '') AS labels, round(coalesce(score, 0), 6)::DOUBLE AS score FROM doc LEFT JOIN summed USING (r)
+"""
