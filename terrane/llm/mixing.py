@@ -6,12 +6,12 @@ budget is spent; a source whose target is above its size starts over for a secon
 the end is taken in part.
 
 Targets: the budget (150 % of all words) is shared by weight; no source gets more than twice its size, and what is
-over is shared again among the rest until none is above. That level is found in closed form: with sources ordered by
-capacity over weight, the capped ones are a prefix.
+over is shared again among the rest until none is above. The share per weight only rises while it is found, and each
+time some sources reach their limit for good, so a few aggregates over the table of sources end at the exact level.
 
 Scale: words are counted once and kept as a narrow table. The running sum is a two-level prefix sum: every source is
 cut into digest ranges of about ``BUCKET_ROWS`` rows, so that a source with a third of all rows has a third of all
-ranges; only the ranges' totals are summed per source. The source table alone is ordered in one task.
+ranges; only the ranges' totals are summed per source. Sources are numbered by ranges as well.
 
 Defined cases: a null source is a source of its own, ordered last; a null text has size 0 and is taken 0 times; equal
 rows are told apart by nothing and may share what is taken in any order; sources without words have target 0; very long
@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as Wd
 from pyspark.sql import functions as F
 
+from terrane.operators import curate
+
 from .scratch import fresh, materialise, only_columns, small
 
 WEIGHTS = (3, 1, 2)
@@ -46,18 +48,19 @@ def _digest(doc_id: Column, text: Column) -> Column:
 
 def targets(sources: DataFrame) -> DataFrame:
     """``sources`` (source, source_size, rows) with each one's target."""
-    order = Wd.orderBy(F.col("source").asc_nulls_last())
-    weight = F.get(F.array(*[F.lit(float(w)) for w in WEIGHTS]), F.pmod(F.row_number().over(order) - 1, F.lit(len(WEIGHTS))).cast("int"))
-    s = sources.withColumn("weight", weight).withColumn("cap", F.col("source_size") * float(MOST_PASSES))
-    by_ratio = Wd.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = by_ratio.rowsBetween(Wd.unboundedPreceding, -1)
-    rest = by_ratio.rowsBetween(0, Wd.unboundedFollowing)
-    everything = Wd.rowsBetween(Wd.unboundedPreceding, Wd.unboundedFollowing)
-    budget = F.sum("source_size").over(everything.partitionBy(F.lit(1))) * BUDGET
-    s = s.withColumn("level", (budget - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(rest))
-    s = s.withColumn("level", F.max(F.when(F.col("level") * F.col("weight") < F.col("cap"), F.col("level"))).over(everything.partitionBy(F.lit(1))))
-    target = F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("level") * F.col("weight")))
-    return s.select("source", "source_size", "rows", target.alias("target"))
+    numbered = curate.numbered(sources, F.struct(F.col("source").isNull(), "source"), "place")
+    weight = F.get(F.array(*[F.lit(float(w)) for w in WEIGHTS]), F.pmod("place", F.lit(len(WEIGHTS))).cast("int"))
+    s = numbered.select("source", "source_size", "rows", weight.alias("weight"), (F.col("source_size") * float(MOST_PASSES)).alias("cap"))
+    s = materialise(s, "sources")
+    level, before = 0.0, None
+    while True:
+        full = F.lit(level) * F.col("weight") >= F.col("cap")
+        got = s.agg(F.sum("source_size").alias("all"), F.sum(F.when(full, F.col("cap"))).alias("cap"), F.sum(F.when(~full, F.col("weight"))).alias("weight")).first()
+        if got == before or not got.weight:
+            break
+        level, before = ((got.all or 0) * BUDGET - (got.cap or 0.0)) / got.weight, got
+    full = F.lit(level) * F.col("weight") >= F.col("cap")
+    return s.select("source", "source_size", "rows", F.when(full, F.col("cap")).otherwise(F.lit(level) * F.col("weight")).alias("target"))
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
