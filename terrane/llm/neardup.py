@@ -144,11 +144,11 @@ def leaf_keys(trees: int) -> Column:
 
 
 def child_keys(depth: int) -> Column:
-    """A node's children one level further down; the coordinates come from another tree's share."""
+    """A node's children one level further down; each node draws its two coordinates by hash, none of its tree's own."""
     keys = []
     for choice in range(2):
-        share = (F.col("tree") + 1 + depth // 7) % (COORDINATES // _PER_TREE)
-        coordinate = share * _PER_TREE + (2 * depth + choice) % _PER_TREE
+        drawn = F.pmod(F.xxhash64("node", F.lit(depth), F.lit(choice), F.lit("coordinate")), F.lit(COORDINATES - _PER_TREE)).cast("int")
+        coordinate = (F.col("tree") * _PER_TREE + _PER_TREE + drawn) % COORDINATES
         keys.append(F.struct("tree", F.xxhash64("node", F.lit(depth), F.lit(choice), F.get("signature", coordinate)).alias("node")))
     return F.array(*keys)
 
