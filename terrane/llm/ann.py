@@ -21,8 +21,8 @@ The radius widens query by query:
 Scale: equal vectors are one row of the index with the smallest of their vec_ids, and each brings no more than
 k + 1 of them into a result; a vector that a third of all rows share costs one row. The rotation and radius are fitted on
 a bounded sample (``SAMPLE_ROWS`` vectors by hash); the index holds every row. A block is at most ``QUERY_BLOCK``
-queries; the driver holds and ships one at a time and takes it back once its results are written. What a block
-shuffles is k + 1 rows per query and index.
+queries, and neither its vectors nor an index's take more than ``BLOCK_BYTES``; the driver holds and ships one at a
+time and takes it back once its results are written. What a block shuffles is k + 1 rows per query and index.
 
 Defined cases: vectors that are null, zero or hold null or non-finite components, or whose length isn't the
 commonest one (of those the smallest), take no part; rows that share a vec_id are one, with the least of their vectors
@@ -50,6 +50,7 @@ WITHIN = 1
 MARGIN = 3.0
 INDEX_ROWS = 1 << 16
 QUERY_BLOCK = 8192
+BLOCK_BYTES = 64 << 20
 ROUNDS = 20
 
 
@@ -148,6 +149,11 @@ def _cosines(dim: int):
     return cosines
 
 
+def _fitting(rows: int, dim: int) -> int:
+    """As many of ``rows`` vectors as ``BLOCK_BYTES`` hold."""
+    return max(1, min(rows, BLOCK_BYTES // (8 * dim)))
+
+
 def _searcher(shipped, radius: int, k: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with opened(shipped) as (query_ids, queries, query_codes):
@@ -156,7 +162,7 @@ def _searcher(shipped, radius: int, k: int):
             for batch in batches:
                 held.append(batch)
                 n += batch.num_rows
-                if n >= INDEX_ROWS:
+                if n >= _fitting(INDEX_ROWS, query_units.shape[1]):
                     yield answer(held, query_ids, query_units, query_codes)
                     held, n = [], 0
             if n:
@@ -241,7 +247,7 @@ def search(table: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id
     hits, finished = _probed(codes, queries, dim, coder.bits, total, k + 1)
     found = hits.join(finished.withColumnRenamed("vid", "query"), "query", "left_semi").select("query", "vid", "score")
     rest = materialise(codes.join(queries.join(finished, "vid", "left_anti"), "vid", "left_semi"), "rest")
-    blocks = max(1, -(-rest.count() // QUERY_BLOCK))
+    blocks = max(1, -(-rest.count() // _fitting(QUERY_BLOCK, dim)))
     for block in range(blocks):
         part = rest.where(F.pmod(F.xxhash64("vid", F.lit(1)), F.lit(blocks)) == block).toArrow()
         ids = np.array(part.column("vid"), dtype=np.int64)
