@@ -34,7 +34,7 @@ from .scratch import fresh, only_columns, opened, ship
 
 WINDOW = 13
 MIN_COVERAGE = 0.05
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 250_000
 
 
 class SuffixAutomaton:
