@@ -6,10 +6,13 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
 _LOCAL: dict[str, str] = {}
+_SCOPES: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,10 +34,26 @@ def _own_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return "/".join([_own_dir(spark), *_SCOPES, f"{name}-{uuid.uuid4().hex}"])
+
+
+def _delete(spark: SparkSession, folder: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Paths that are made inside go when it ends; what has to stay is written to a path from before."""
+    _SCOPES.append(f"step-{uuid.uuid4().hex}")
+    folder = "/".join([_own_dir(spark), *_SCOPES])
+    try:
+        yield
+    finally:
+        _SCOPES.pop()
+        _delete(spark, folder)
 
 
 def release(spark: SparkSession) -> bool:
     """Remove this application's intermediate tables; results that still read them have to be written before."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return _delete(spark, _own_dir(spark))

@@ -317,4 +317,10 @@ def test_release(spark):
 
     path = shared.new_path(spark, "x")
     spark.range(3).write.parquet(path)
+    with shared.temporary(spark):
+        inner = shared.new_path(spark, "y")
+        spark.range(2).write.parquet(inner)
+        assert spark.read.parquet(inner).count() == 2
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(inner)
     assert spark.read.parquet(path).count() == 3 and shared.release(spark) and not shared.release(spark)
