@@ -47,7 +47,6 @@ def test_columns_stay(spark, name):
 
 REPORTS = {
     "op1": lambda s, d: decontam.report(d, s.createDataFrame([(1, "menu the of")], "item_id long, text string")),
-    "op2": lambda s, d: neardup.near_duplicates(d, k=4),
     "op4": lambda s, d: license_scan.report(d),
     "op6": lambda s, d: mixing.report(d),
     "op9": lambda s, d: line_dedup.report(d),
