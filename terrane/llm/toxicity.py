@@ -50,6 +50,8 @@ DISCOUNT = 0.75
 TOP = (1, 2, 3)
 ASIDE = 4
 SHARD_ROWS = 4_000_000
+FETCH_ROWS = 500_000
+AT_ONCE = 1 << 15
 CALIBRATION_ROWS = 20_000
 BROADCAST_ROWS = 2_000_000
 THRESHOLD = 0.3
@@ -104,10 +106,12 @@ def steps(units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 Look = Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
-def evidence(units: list[str], look: Look) -> np.ndarray:
+def evidence(units: list[str], look: Look, at_once: int = AT_ONCE) -> np.ndarray:
     """The log likelihood ratio of each unit. ``look``: the values of keys (0 if unknown), and which are known."""
-    if not units:
-        return np.zeros(0)
+    return np.concatenate([np.zeros(0), *[_evidence(units[i : i + at_once], look) for i in range(0, len(units), at_once)]])
+
+
+def _evidence(units: list[str], look: Look) -> np.ndarray:
     keys, starts, _ = steps(units)
     value, known = look(keys[0])
     missed = np.flatnonzero(~known)
@@ -118,13 +122,13 @@ def evidence(units: list[str], look: Look) -> np.ndarray:
     return np.add.reduceat(value, starts)
 
 
-def features(look: Look, column: pa.Array) -> np.ndarray:
+def features(look: Look, column: pa.Array, at_once: int = AT_ONCE) -> np.ndarray:
     """Per row: the evidence of its most toxic places, each of ``TOP`` (the last one, if there are fewer), and the mean."""
     units, places, at = expressions(column)
     out = np.zeros((len(at) - 1, len(TOP) + 1))
     if not units:
         return out
-    each = evidence(units, look)[places]
+    each = evidence(units, look, at_once)[places]
     n = np.diff(at)
     rows = np.flatnonzero(n)
     out[rows, -1] = np.add.reduceat(each, at[:-1][rows]) / n[rows]
@@ -141,11 +145,17 @@ class Store:
         """``table``: key, value."""
         self.shards = []
         self.n = max(1, -(-table.count() // shard_rows))
+        parts = max(1, -(-shard_rows // FETCH_ROWS)) if self.n > 1 else max(1, -(-table.count() // FETCH_ROWS))
         for i in range(self.n):
-            part = (table if self.n == 1 else table.where(F.pmod("key", F.lit(self.n)) == i)).toArrow()
-            keys = np.array(part.column("key"), dtype=np.int64)
+            # A shard comes in parts, so that the JVM doesn't hold it as a whole.
+            keys, values = [], []
+            for j in range(parts):
+                part = table.where(F.pmod("key", F.lit(self.n * parts)) == i + j * self.n).toArrow()
+                keys.append(np.array(part.column("key"), dtype=np.int64))
+                values.append(np.array(part.column("value"), dtype=np.float32))
+            keys, values = np.concatenate(keys), np.concatenate(values)
             order = np.argsort(keys)
-            self.shards.append(ship(table.sparkSession, (keys[order], np.array(part.column("value"), dtype=np.float32)[order])))
+            self.shards.append(ship(table.sparkSession, (keys[order], values[order])))
 
     def look(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         # In order, so that neighbouring searches read the same memory.
@@ -161,9 +171,13 @@ class Store:
         return value[back], known[back]
 
     @property
-    def piece(self) -> int:
-        """Bytes of text at a time: the more shards, the more, up to a bound."""
-        return (4 << 20) * min(self.n, 16)
+    def pieces(self) -> int:
+        """How many times the usual to take at once, of bytes and of units: the more shards, the more, up to a bound."""
+        return min(self.n, 16)
+
+    def release(self) -> None:
+        for shard in self.shards:
+            shard.destroy()
 
 
 COUNTS = ["toxic", "ordinary", "toxic_aside", "ordinary_aside"]
@@ -210,8 +224,8 @@ def model_table(counted: DataFrame) -> DataFrame:
 
 def _measure(store: Store):
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in W.pieces(batches, 0, store.piece):
-            f = features(store.look, batch.column(0))
+        for batch in W.pieces(batches, 0, (4 << 20) * store.pieces):
+            f = features(store.look, batch.column(0), AT_ONCE * store.pieces)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(f) + 1, dtype=np.int32) * f.shape[1]), pa.array(f.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(1), lists], names=["toxic", "features"])
 
@@ -262,18 +276,20 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         judge, judged = Store(materialise(model_table(rest), "model"), SHARD_ROWS), train.where("aside = 1")
     part = judged.where(drawn(F.col("doc_id"), CALIBRATION_ROWS, judged.count()))
     got = part.select("text", "toxic").mapInArrow(_measure(judge), "toxic long, features array<double>").toArrow()
+    if judge is not store:
+        judge.release()
     x = np.concatenate([np.array(c.flatten()) for c in got.column("features").chunks]).reshape(-1, len(TOP) + 1)
     return store, _logistic(x, np.array(got.column("toxic"), dtype=float))
 
 
 def _scorer(fitted: tuple[Store, np.ndarray] | None, n_keep: int):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in W.pieces(batches, 0, fitted[0].piece if fitted else 4 << 20):
+        for batch in W.pieces(batches, 0, (4 << 20) * (fitted[0].pieces if fitted else 1)):
             if fitted is None:
                 scores = np.zeros(batch.num_rows)
             else:
                 store, w = fitted
-                scores = 1 / (1 + np.exp(-np.clip(w[0] + features(store.look, batch.column(0)) @ w[1:], -500, 500)))
+                scores = 1 / (1 + np.exp(-np.clip(w[0] + features(store.look, batch.column(0), AT_ONCE * store.pieces) @ w[1:], -500, 500)))
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(1, 1 + n_keep)], pa.array(scores)], names=[*batch.schema.names[1:], "score"])
 
     return score
