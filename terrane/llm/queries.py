@@ -71,4 +71,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """The queries that SQL can express; the others are tested against brute force."""
-    return {"op1_benchmark_decontamination": decontam.ORACLE_SQL, "op2_minhash_near_dedup": neardup.oracle_sql(4), "op4_license_scan": license_scan.oracle_sql(), "op6_source_mix": mixing.ORACLE_SQL, "op7_warc_round_trip": warc.ORACLE_SQL, "op9_line_dedup": line_dedup.ORACLE_SQL}
+    return {"op1_benchmark_decontamination": decontam.ORACLE_SQL, "op2_minhash_near_dedup": neardup.oracle_sql(4), "op4_license_scan": license_scan.oracle_sql(), "op6_source_mix": mixing.ORACLE_SQL, "op7_warc_round_trip": warc.ORACLE_SQL, "op9_line_dedup": line_dedup.ORACLE_SQL, "op10_secret_scan": secrets.oracle_sql()}

@@ -243,3 +243,34 @@ def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long")
     only_base = F.filter("found", lambda s: s["kind"].isin(*base))
     return found.select(doc_id, *[count(k).alias(f"n_{k}") for k in base], F.sha2(joined(only_base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
+
+
+_NOT_INSIDE = "(?<![A-Za-z0-9_-])"
+
+
+def oracle_sql(rules: list[Rule] = RULES) -> str:
+    """The same rows by every expression over every text, for small tables.
+
+    SQL's expressions can't look behind; there the character before is matched too and left out of the span.
+    """
+    parts = []
+    for rank, rule in enumerate(rules):
+        regex = rule.regex.replace("'", "''")
+        if behind := regex.startswith(_NOT_INSIDE):
+            regex = "(?:^|[^A-Za-z0-9_-])" + regex.removeprefix(_NOT_INSIDE)
+        skipped = "CAST(regexp_matches(m[i], '^[^A-Za-z0-9_-]') AS INT)" if behind else "0"
+        parts.append(f"""SELECT r, {rank} AS rank, '{rule.kind}' AS kind, {rule.base} AS base, before + {skipped} AS start, before + length(m[i]) AS stop FROM (
+    SELECT *, list_sum(list_transform(b[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS before FROM (
+        SELECT r, m, g, b, unnest(range(1, len(m) + 1)) AS i FROM (
+            SELECT r, regexp_extract_all(t, '{regex}') AS m, regexp_extract_all(t, '{regex}', {rule.group}) AS g, string_split_regex(t, '{regex}') AS b FROM doc)))
+    WHERE length(g[i]) >= {rule.at_least}""")
+    every = "\n    UNION ALL ".join(parts)
+    line = "kind || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY start, rank"
+    counts = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in rules if r.base)
+    filled = ", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in rules if r.base)
+    return f"""
+WITH doc AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+span AS ({every}),
+summed AS (SELECT r, {counts}, string_agg({line}) FILTER (base) AS base, string_agg({line}) AS spans FROM span GROUP BY r)
+SELECT doc_id, {filled}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM doc LEFT JOIN summed USING (r)
+"""
