@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as Wd
 from pyspark.sql import functions as F
 
-from .scratch import drawn, materialise, only_columns, opened, ship
+from .scratch import drawn, materialise, new_path, only_columns, opened, ship
 
 BITS = 256
 SAMPLE_ROWS = 4000
@@ -245,7 +245,9 @@ def search(table: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id
     queries = materialise(asked.select("vid").distinct(), "queries")
     # One more than k, since a query's own vector is among them.
     hits, finished = _probed(codes, queries, dim, coder.bits, total, k + 1)
-    found = hits.join(finished.withColumnRenamed("vid", "query"), "query", "left_semi").select("query", "vid", "score")
+    # Every block adds to one table, so that plans don't grow with the blocks.
+    path = new_path(spark, "found")
+    hits.join(finished.withColumnRenamed("vid", "query"), "query", "left_semi").select("query", "vid", "score").write.parquet(path)
     rest = materialise(codes.join(queries.join(finished, "vid", "left_anti"), "vid", "left_semi"), "rest")
     blocks = max(1, -(-rest.count() // _fitting(QUERY_BLOCK, dim)))
     for block in range(blocks):
@@ -266,9 +268,9 @@ def search(table: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id
             if short.any():
                 again = spark.createDataFrame(pa.table({"query": ids[short]}))
                 got = got.join(F.broadcast(again), "query", "left_anti")
-            found = found.unionAll(got.select("query", "vid", "score"))
+            got.select("query", "vid", "score").write.mode("append").parquet(path)
             ids, vectors, words, radius = ids[short], vectors[short], words[short], min(coder.bits, max(2 * radius, 16))
-    found = materialise(found, "found")
+    found = spark.read.schema("query long, vid long, score double").parquet(path)
     owners = names.join(found.select("vid").distinct(), "vid", "left_semi")
     owners = owners.withColumn("rank", F.row_number().over(Wd.partitionBy("vid").orderBy("vec_id"))).where(F.col("rank") <= k + 1).select("vid", "vec_id")
     nearest = asked.toDF("query_id", "query").join(found, "query").join(owners, "vid").where("query_id <> vec_id")
