@@ -65,11 +65,14 @@ def ship(spark: SparkSession, state) -> Broadcast:
 
 
 @contextmanager
-def opened(shipped: Broadcast, keep: bool = True) -> Iterator:
-    """What was shipped; unless ``keep``, it leaves the worker's memory again and stays in the executor's blocks."""
+def opened(shipped: Broadcast, keep: bool = True, read=cloudpickle.loads) -> Iterator:
+    """What was shipped; unless ``keep``, it leaves the worker's memory again and stays in the executor's blocks.
+
+    ``read`` makes it from the bytes that were broadcast, and may look at them in place.
+    """
     state = getattr(shipped, "_opened", None)
     if state is None:
-        state = cloudpickle.loads(shipped.value)
+        state = read(shipped.value)
         if getattr(shipped, "_path", None) is not None and hasattr(shipped, "_value"):
             del shipped._value
         if keep:

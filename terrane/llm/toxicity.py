@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .scratch import drawn, fresh, materialise, only_columns, opened, ship, small
+from .scratch import drawn, fresh, materialise, only_columns, opened, small
 
 ORDER = 8
 SHORT = 4
@@ -51,7 +51,8 @@ TOP = (1, 2, 3)
 ASIDE = 4
 SHARD_ROWS = 4_000_000
 FETCH_ROWS = 500_000
-AT_ONCE = 1 << 15
+AT_ONCE = 1 << 14
+PIECE = 2 << 20
 CALIBRATION_ROWS = 20_000
 BROADCAST_ROWS = 2_000_000
 THRESHOLD = 0.3
@@ -138,6 +139,12 @@ def features(look: Look, column: pa.Array, at_once: int = AT_ONCE) -> np.ndarray
     return out
 
 
+def _arrays(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A shard's keys and values, in place."""
+    n = len(data) // 12
+    return np.frombuffer(data, np.int64, n), np.frombuffer(data, np.float32, n, 8 * n)
+
+
 class Store:
     """A model's shards, shipped one by one; looks keys up with one of them in memory."""
 
@@ -155,7 +162,7 @@ class Store:
                 values.append(np.array(part.column("value"), dtype=np.float32))
             keys, values = np.concatenate(keys), np.concatenate(values)
             order = np.argsort(keys)
-            self.shards.append(ship(table.sparkSession, (keys[order], values[order])))
+            self.shards.append(table.sparkSession.sparkContext.broadcast(keys[order].tobytes() + values[order].tobytes()))
 
     def look(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         # In order, so that neighbouring searches read the same memory.
@@ -163,7 +170,7 @@ class Store:
         value, known = np.zeros(len(asked)), np.zeros(len(asked), bool)
         for i, shard in enumerate(self.shards):
             mine = np.arange(len(asked)) if self.n == 1 else np.flatnonzero(asked % self.n == i)
-            with opened(shard, keep=self.n == 1) as (keys, values):
+            with opened(shard, self.n == 1, _arrays) as (keys, values):
                 if len(keys) and len(mine):
                     where = np.minimum(np.searchsorted(keys, asked[mine]), len(keys) - 1)
                     hit = keys[where] == asked[mine]
@@ -224,7 +231,7 @@ def model_table(counted: DataFrame) -> DataFrame:
 
 def _measure(store: Store):
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in W.pieces(batches, 0, (4 << 20) * store.pieces):
+        for batch in W.pieces(batches, 0, PIECE * store.pieces):
             f = features(store.look, batch.column(0), AT_ONCE * store.pieces)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(f) + 1, dtype=np.int32) * f.shape[1]), pa.array(f.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(1), lists], names=["toxic", "features"])
@@ -284,7 +291,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
 def _scorer(fitted: tuple[Store, np.ndarray] | None, n_keep: int):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in W.pieces(batches, 0, (4 << 20) * (fitted[0].pieces if fitted else 1)):
+        for batch in W.pieces(batches, 0, PIECE * (fitted[0].pieces if fitted else 1)):
             if fitted is None:
                 scores = np.zeros(batch.num_rows)
             else:
