@@ -49,6 +49,11 @@ def none_if_empty(x: Column) -> Column:
     return F.nullif(x, F.lit(""))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often it is named there."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalised_hash(code: Column) -> Column:
     """SHA-256 of the code without comments and whitespace. A comment opens inside string literals as well."""
     bare = F.regexp_replace(F.coalesce(code, F.lit("")), COMMENT, "")
@@ -57,8 +62,7 @@ def normalised_hash(code: Column) -> Column:
 
 def strip_fence(text: Column) -> Column:
     """The inside of a code fence if the whole text is one, else the text; stripped."""
-    plain = strip(text)
-    return F.when(plain.rlike(WHOLE_FENCE), strip(F.regexp_extract(plain, WHOLE_FENCE, 1))).otherwise(plain)
+    return let(strip(text), lambda plain: F.when(plain.rlike(WHOLE_FENCE), strip(F.regexp_extract(plain, WHOLE_FENCE, 1))).otherwise(plain))
 
 
 def first_code_block(text: Column) -> Column:
@@ -97,16 +101,22 @@ def language(*codes: Column) -> Column:
 
 def parse_response(text: Column) -> Column:
     """struct(error, vulnerable, patched, context, target_name, language, fix_summary); error is null on success."""
-    got = [extract_tag(text, tag) for tag in BLOCKS]
-    missing = F.array_compact(F.array(*[F.when(F.coalesce(g, F.lit("")) == "", tag) for g, tag in zip(got, BLOCKS, strict=True)]))
-    name, other = function_name(got[0]), function_name(got[1])
-    error = (
-        F.when(F.size(missing) > 0, F.concat(F.lit("missing blocks: "), F.array_join(missing, ", ")))
-        .when(name.isNull(), "no function definition")
-        .when(~name.eqNullSafe(other), F.concat(F.lit("patched function is named "), F.coalesce(other, F.lit("nothing")), F.lit(", expected "), name))
-    )
-    fields = zip(["vulnerable", "patched", "context"], got, strict=True)
-    return F.struct(error.alias("error"), *[g.alias(n) for n, g in fields], name.alias("target_name"), language(*got).alias("language"), F.coalesce(extract_tag(text, "fix_summary"), F.lit("")).alias("fix_summary"))
+    parts = ["vulnerable", "patched", "context"]
+
+    def judged(got: Column, names: Column) -> Column:
+        missing = F.array_compact(F.array(*[F.when(F.coalesce(got[p], F.lit("")) == "", tag) for p, tag in zip(parts, BLOCKS, strict=True)]))
+        name, other = names["name"], names["other"]
+        error = (
+            F.when(F.size(missing) > 0, F.concat(F.lit("missing blocks: "), F.array_join(missing, ", ")))
+            .when(name.isNull(), "no function definition")
+            .when(~name.eqNullSafe(other), F.concat(F.lit("patched function is named "), F.coalesce(other, F.lit("nothing")), F.lit(", expected "), name))
+        )
+        summary = F.coalesce(got["fix_summary"], F.lit(""))
+        return F.struct(error.alias("error"), *[got[p].alias(p) for p in parts], name.alias("target_name"), language(*[got[p] for p in parts]).alias("language"), summary.alias("fix_summary"))
+
+    blocks = F.struct(*[extract_tag(text, tag).alias(p) for p, tag in zip([*parts, "fix_summary"], [*BLOCKS, "fix_summary"], strict=True)])
+    names = lambda got: F.struct(function_name(got["vulnerable"]).alias("name"), function_name(got["patched"]).alias("other"))
+    return let(blocks, lambda got: let(names(got), lambda found: judged(got, found)))
 
 
 def render_candidate(vulnerable: Column, patched: Column, context: Column) -> Column:
