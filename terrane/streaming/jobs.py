@@ -21,10 +21,14 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def events(spark: SparkSession, path: str) -> DataFrame:
-    """The event log as a stream of a Parquet path, which may be one file or a folder."""
+    """The rows of a Parquet path as a stream. It may be one file, a folder of them or a pattern, whatever its name."""
     schema = spark.read.parquet(path).schema
-    folder, _, name = path.rstrip("/").rpartition("/")
-    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).format("parquet").load(path) if not name.endswith(".parquet") else spark.readStream.schema(schema).option("pathGlobFilter", name).format("parquet").load(folder)
+    stream = spark.readStream.schema(schema).format("parquet")
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).isFile(at):
+        # A stream's source has to be a folder or a pattern.
+        return stream.option("pathGlobFilter", at.getName()).load(str(at.getParent()))
+    return stream.load(path)
 
 
 def windowed_counts(stream: DataFrame, ts: str = "ts", key: str = "event_type", value: str = "value", window: str = "1 hour", late: str = "1 day") -> DataFrame:

@@ -294,6 +294,21 @@ def test_streams_equal_batch(spark, tmp_path):
     assert got == want
 
 
+def test_streamed_paths(spark, tmp_path):
+    def streamed(path):
+        return sorted(tuple(r) for r in jobs.drain(jobs.events(spark, str(path)), "rows").collect())
+
+    folder, dealt = tmp_path / "a.parquet", tmp_path / "b.parquet"
+    spark.range(90).repartition(3).write.parquet(str(folder))
+    spark.range(90).selectExpr("id", "id % 2 AS part").write.partitionBy("part").parquet(str(dealt))
+    one_file = sorted(folder.glob("part-*.parquet"))[0]
+    assert streamed(folder) == streamed(f"{folder}/") == streamed(f"{folder}/*.parquet") == [(i,) for i in range(90)]
+    assert streamed(one_file) == sorted(tuple(r) for r in spark.read.parquet(str(one_file)).collect())
+    one_file.rename(folder / "other")
+    assert streamed(folder) == [(i,) for i in range(90)]
+    assert streamed(dealt) == [(i, i % 2) for i in range(90)]
+
+
 def test_small_tables_and_texts(spark, tmp_path):
     tables = readers.family_tables(spark, {"a": {"sink_calls": {"memcpy": [3], "gets": []}, "sanitizer": "asan", "sanitizer_errors": ["X"], "codeql_queries": ["q"]}, "b": {"dealloc_calls": ["free"]}})
     assert {k: v.count() for k, v in tables.items()} == {"sinks": 2, "sources": 1, "queries": 1, "sanitizers": 1}
