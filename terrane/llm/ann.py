@@ -12,17 +12,21 @@ The radius widens query by query:
 * First the index is a table of (substring, value, vector), shuffled by substring and value; each query's probes of up
   to ``WITHIN`` flipped bits join it. That covers a radius of m (WITHIN + 1) - 1. A query is finished if it found
   enough and whatever is nearer than the last of these has its code inside that radius (its expected Hamming distance
-  and ``MARGIN`` standard deviations). Substrings follow the logarithm of the rows, so that buckets stay small.
+  and ``MARGIN`` standard deviations). Substrings follow the logarithm of the rows, so that buckets stay small. A bucket
+  of more than ``BUCKET_ROWS`` rows (a large group of near copies has one in each substring) isn't joined: a query that
+  probes one leaves the join with all of its probes and is answered with the following ones.
 * Queries without neighbours so near would probe most buckets of any table, each row once per substring. They go out
   in blocks, to indexes of up to ``INDEX_ROWS`` rows that stay where the rows are, which are probed within the radius
   that holds ``TARGET`` of a sample's true neighbours. Those that find too few there are sent again with twice the
   radius, up to all bits, which is exact.
 
 Scale: equal vectors are one row of the index with the smallest of their vec_ids, and each brings no more than
-k + 1 of them into a result; a vector that a third of all rows share costs one row. The rotation and radius are fitted on
-a bounded sample (``SAMPLE_ROWS`` vectors by hash); the index holds every row. A block is at most ``QUERY_BLOCK``
-queries, and neither its vectors nor an index's take more than ``BLOCK_BYTES``; the driver holds and ships one at a
-time and takes it back once its results are written. What a block shuffles is k + 1 rows per query and index.
+k + 1 of them into a result; a vector that a third of all rows share costs one row. The join of near queries makes no
+more than ``BUCKET_ROWS`` rows per probe, so that its rows grow with the queries and not with the square of a group. The
+rotation and radius are fitted on a bounded sample (``SAMPLE_ROWS`` vectors by hash); the index holds every row. A block
+is at most ``QUERY_BLOCK`` queries, and neither its vectors nor an index's take more than ``BLOCK_BYTES``; the driver
+holds and ships one at a time and takes it back once its results are written. What a block shuffles is k + 1 rows per
+query and index.
 
 Defined cases: vectors that are null, zero or hold null or non-finite components, or whose length isn't the
 commonest one (of those the smallest), take no part; rows that share a vec_id are one, with the least of their vectors
@@ -47,6 +51,7 @@ SAMPLE_ROWS = 4000
 SAMPLE_QUERIES = 200
 TARGET = 0.99
 WITHIN = 1
+BUCKET_ROWS = 256
 MARGIN = 3.0
 INDEX_ROWS = 1 << 16
 QUERY_BLOCK = 8192
@@ -211,7 +216,11 @@ def _probed(codes: DataFrame, queries: DataFrame, dim: int, bits: int, rows: int
     flips = F.array(*[F.lit(m).cast("long") for m in [0, *[1 << i for i in range(width)]]])
     probes = asked.select(F.col("vid").alias("query"), F.inline(substrings(F.col("code"), bits, width))).select("query", "part", "value", F.explode(flips).alias("flip"))
     probes = probes.select("query", "part", F.col("value").bitwiseXOR(F.col("flip")).alias("value"))
-    pairs = materialise(probes.join(index, ["part", "value"]).select("query", "vid").distinct(), "probed")
+    crowded = materialise(index.groupBy("part", "value").count().where(F.col("count") > BUCKET_ROWS).select("part", "value"), "crowded")
+    met = materialise(probes.join(crowded, ["part", "value"], "left_semi").select("query").distinct(), "met")
+    # No probe is left that meets a crowded bucket; the buckets' rows go too, so that no task gathers them.
+    joined = probes.join(met, "query", "left_anti").join(index.join(crowded, ["part", "value"], "left_anti"), ["part", "value"])
+    pairs = materialise(joined.select("query", "vid").distinct(), "probed")
     left = asked.select(F.col("vid").alias("query"), F.col("vector").alias("in_query"), F.col("code").alias("query_code"))
     apart = F.aggregate(F.zip_with("query_code", "code", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, x: n + x)
     both = pairs.join(left, "query").join(codes, "vid").where(apart <= radius)

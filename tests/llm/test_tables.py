@@ -214,6 +214,28 @@ def test_clusters_and_outliers_in_small_blocks(spark, monkeypatch):
     assert all(25 <= n <= 32 for n in finished)
 
 
+def test_a_large_group_of_near_copies_is_not_joined(spark, monkeypatch):
+    """Its queries make no pairs in the shared index and have their neighbours all the same."""
+    rnd = np.random.default_rng(8)
+    centres = rnd.normal(size=(2, 16))
+    rows = [(i, [float(x) for x in np.float32(centres[0] + 1e-3 * rnd.normal(size=16))]) for i in range(1200)]
+    rows += [(1200 + i, [float(x) for x in np.float32(centres[1] + 1e-3 * rnd.normal(size=16))]) for i in range(60)]
+    rows += [(1300 + i, [float(x) for x in np.float32(rnd.normal(size=16))]) for i in range(200)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    made, finished = {}, []
+    kept, probed = ann.materialise, ann._probed
+    monkeypatch.setattr(ann, "materialise", lambda df, name: [made.update({name: x.count()}) or x for x in [kept(df, name)]][0])
+    monkeypatch.setattr(ann, "_probed", lambda *a: [finished.extend(r.vid for r in x[1].collect()) or x for x in [probed(*a)]][0])
+    got = [(r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in ann.search(d, F.col("vec_id") % 20 == 0).collect()]
+    want = exact(rows, [i for i, _ in rows if i % 20 == 0], 5)
+    assert made["crowded"] >= 16 and made["met"] >= 60 and made["probed"] < 1200
+    assert {1200, 1220, 1240} <= set(finished) and not [i for i in finished if i < 1200]
+    assert sorted(g[:2] for g in got) == sorted(w[:2] for w in want)
+    near = lambda rs: {(q, i) for q, _, i, _ in rs}
+    assert len(near(got) & near(want)) >= 0.9 * len(want)
+    assert len({g[::2] for g in got if g[0] < 1200} & {w[::2] for w in want if w[0] < 1200}) >= 0.9 * 300
+
+
 def test_probing_retrieves_all_codes_in_the_radius():
     rnd = np.random.default_rng(4)
     codes = rnd.integers(0, 1 << 63, (3000, 4), dtype=np.uint64)
