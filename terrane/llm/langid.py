@@ -16,7 +16,8 @@ A row is rejected ("und") if its text has no letters, if an even distribution ov
 every language, or if no language reaches ``MIN_POSTERIOR``.
 
 Scale: the texts are scored twice, by vectorised look-ups in a table of 2^14 trigrams per language (64 KB each, which is
-what is broadcast), rather than kept or shuffled. The evidence tables have a row for each host; they meet the rows by a broadcast if their number is below
+what is broadcast), rather than kept or shuffled. A worker works through ``SEGMENT`` bytes of text at a time, so that its
+memory follows neither the batch nor the longest text beyond their own bytes. The evidence tables have a row for each host; they meet the rows by a broadcast if their number is below
 a checked bound, and otherwise by a join on the host whose hot side Spark splits.
 
 Defined cases: a null or empty text is rejected; very long texts are read whole; of equal posteriors the first language
@@ -38,6 +39,7 @@ from .scratch import fresh, materialise, only_columns, opened, ship, small, thre
 
 SAMPLE_ROWS = 2000
 BUCKETS = 1 << 14
+SEGMENT = 1 << 18
 MIN_POSTERIOR = 0.5
 PRIOR_ROWS = 20.0
 BROADCAST_HOSTS = 200_000
@@ -55,11 +57,7 @@ def _folding() -> np.ndarray:
 _FOLD = _folding()
 
 
-def trigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bucket of every row's trigrams that aren't mostly blank, in order, and where each row's start."""
-    data, at = W.utf8(column)
-    if len(data) < 3:
-        return np.zeros(0, np.int64), np.zeros(len(at), np.int64)
+def _grams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     b = _FOLD[data]
     blank = (b == 32).astype(np.uint8)
     code = (b[:-2] << np.uint32(16)) | (b[1:-1] << np.uint32(8)) | b[2:]
@@ -72,12 +70,44 @@ def trigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return bucket, np.searchsorted(where, at)
 
 
+def segments(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The trigrams that aren't mostly blank by about ``SEGMENT`` bytes of text: a first row, the trigrams' buckets in order
+    and where those of that row and of the next ones start. A longer row goes on in the next segments.
+    """
+    data, at = W.utf8(column)
+    lo = 0
+    while lo < len(data):
+        row = int(np.searchsorted(at, lo, "right")) - 1
+        last = int(np.searchsorted(at, lo + SEGMENT, "right")) - 1
+        whole = last > row
+        last = last if whole else row + 1
+        hi = end = int(at[last])
+        if not whole and hi > lo + SEGMENT:
+            hi = lo + SEGMENT
+            end = min(end, hi + 2)
+        if end - lo > 2:
+            yield row, *_grams(data[lo:end], np.clip(at[row : last + 1], lo, end) - lo)
+        lo = hi
+
+
+def trigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of every row's trigrams that aren't mostly blank, in order, and where each row's start."""
+    found, n = [np.zeros(0, np.int64)], np.zeros(len(column), np.int64)
+    for row, bucket, at in segments(column):
+        found.append(bucket)
+        n[row : row + len(at) - 1] += np.diff(at)
+    return np.concatenate(found), np.concatenate([[0], np.cumsum(n)])
+
+
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in W.pieces(batches, 0):
-        bucket, at = trigrams(batch.column(0))
-        both = np.repeat(np.array(batch.column(1), dtype=np.int64), np.diff(at)) * BUCKETS + bucket
-        distinct, n = np.unique(both, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(distinct // BUCKETS), pa.array(distinct % BUCKETS), pa.array(n)], names=["lang", "gram", "n"])
+        lang = np.array(batch.column(1), dtype=np.int64)
+        parts = [np.unique(np.repeat(lang[row : row + len(at) - 1], np.diff(at)) * BUCKETS + bucket, return_counts=True) for row, bucket, at in segments(batch.column(0))]
+        if parts:
+            distinct, where = np.unique(np.concatenate([both for both, _ in parts]), return_inverse=True)
+            n = np.zeros(len(distinct), np.int64)
+            np.add.at(n, where, np.concatenate([counts for _, counts in parts]))
+            yield pa.RecordBatch.from_arrays([pa.array(distinct // BUCKETS), pa.array(distinct % BUCKETS), pa.array(n)], names=["lang", "gram", "n"])
 
 
 class Model:
@@ -88,14 +118,16 @@ class Model:
 
     def scores(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Log likelihood of each row under each language, the even distribution last; and the rows' trigrams."""
-        bucket, at = trigrams(column)
-        n = np.diff(at)
-        out = np.zeros((len(n), len(self.languages) + 1))
+        n = np.zeros(len(column), np.int64)
+        out = np.zeros((len(column), len(self.languages) + 1))
+        for first, bucket, at in segments(column):
+            here = np.diff(at)
+            n[first : first + len(here)] += here
+            rows = np.flatnonzero(here)
+            if len(rows):
+                for i, log_p in enumerate(self.log_p):
+                    out[first + rows, i] += np.add.reduceat(log_p[bucket], at[:-1][rows], dtype=np.float64)
         out[:, -1] = n * -np.log(BUCKETS)
-        rows = np.flatnonzero(n)
-        if len(rows):
-            for i, log_p in enumerate(self.log_p):
-                out[rows, i] = np.add.reduceat(log_p[bucket], at[:-1][rows], dtype=np.float64)
         return out / 3, n
 
 
@@ -127,18 +159,18 @@ def _texts(shipped):
     return best
 
 
-def _fuser(shipped, declared: dict[str, list[float]], n_keep: int, made: tuple[str, str]):
+def _fuser(shipped, declared: dict[str, list[float]], n_keep: int, body: int, made: tuple[str, str]):
     def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with opened(shipped) as m:
             none = np.full(len(m.languages), -np.log(max(1, len(m.languages))))
             other = {k: np.array(v) for k, v in declared.items()}
-            for batch in W.pieces(batches, 0):
-                scores, n = m.scores(batch.column(0))
+            for batch in W.pieces(batches, body):
+                scores, n = m.scores(batch.column(body))
                 known = scores[:, :-1].copy()
                 if len(m.languages):
-                    priors = batch.column(1).to_pylist()
+                    priors = batch.column(0).to_pylist()
                     known += np.array([none if p is None else p for p in priors]).reshape(known.shape)
-                    known += np.array([other.get(x, none) for x in batch.column(2).to_pylist()]).reshape(known.shape)
+                    known += np.array([other.get(x, none) for x in batch.column(1).to_pylist()]).reshape(known.shape)
                     top = known.argmax(axis=1)
                     posterior = 1 / np.exp(known - known.max(axis=1, keepdims=True)).sum(axis=1)
                     rows = np.arange(len(top))
@@ -146,8 +178,8 @@ def _fuser(shipped, declared: dict[str, list[float]], n_keep: int, made: tuple[s
                     names = [m.languages[i] if ok else UNKNOWN for i, ok in zip(top.tolist(), fine.tolist(), strict=True)]
                 else:
                     posterior, names = np.zeros(len(n)), [UNKNOWN] * len(n)
-                kept = [batch.column(i) for i in range(3, 3 + n_keep)]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(posterior)], names=[*batch.schema.names[3:], *made])
+                kept = [batch.column(i) for i in range(2, 2 + n_keep)]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(posterior)], names=[*batch.schema.names[2 : 2 + n_keep], *made])
 
     return fuse
 
@@ -161,11 +193,15 @@ def _log_likelihoods(counts: DataFrame, by: str, languages: list[str]) -> DataFr
     return table.select(by, F.array(*logs).alias("evidence"))
 
 
-def identify(rows: DataFrame, model: Model, text: Column, host: Column, declared: Column, names: tuple[str, str] = ("detected", "posterior")) -> DataFrame:
+def identify(rows: DataFrame, model: Model, text: Column | str, host: Column, declared: Column, names: tuple[str, str] = ("detected", "posterior")) -> DataFrame:
     """``rows`` with detected (a language or "und") and posterior. ``text``, ``host``, ``declared``: columns of ``rows``.
 
-    Columns of ``rows`` that have these ``names`` are replaced.
+    Columns of ``rows`` that have these ``names`` are replaced. A ``text`` given by its name goes to the workers once, with
+    the columns that stay; another column goes there besides them.
     """
+    kept = [c for c in rows.columns if c.lower() not in names]
+    same = [i for i, c in enumerate(kept) if isinstance(text, str) and c.lower() == text.lower()]
+    text = F.col(f"`{text}`") if isinstance(text, str) else text
     spark = rows.sparkSession
     languages = model.languages
     at, prior, body, saying = fresh(rows, "_site", "_prior", "_text", "_declared")
@@ -199,10 +235,10 @@ def identify(rows: DataFrame, model: Model, text: Column, host: Column, declared
     else:
         says_table = {}
         out = out.withColumn(prior, F.lit(None).cast("array<double>"))
-    kept = [c for c in rows.columns if c.lower() not in names]
-    ready = out.select(text.alias(body), F.col(prior), says.alias(saying), *[F.col(f"`{c}`") for c in kept])
+    besides = [] if len(same) == 1 else [text.alias(body)]
+    ready = out.select(F.col(prior), says.alias(saying), *[F.col(f"`{c}`") for c in kept], *besides)
     schema = rows.select(*[F.col(f"`{c}`") for c in kept]).withColumns({names[0]: F.lit("").cast("string"), names[1]: F.lit(0.0)}).schema
-    return ready.mapInArrow(_fuser(shipped, says_table, len(kept), names), schema)
+    return ready.mapInArrow(_fuser(shipped, says_table, len(kept), 2 + (len(kept) if besides else same[0]), names), schema)
 
 
 _SKIPPED = r"(?is)<(script|style)\b.*?(?:</\1\s*>|\z)|<!--.*?(?:-->|\z)|<[^>]*(?:>|\z)"
@@ -220,12 +256,12 @@ def of_pages(pages: DataFrame, labelled: DataFrame, page_id: str = "page_id", ur
     rows = rows.withColumn("declared", declared).withColumn("_visible", visible_text(F.col(html)))
     rows = rows.select(page_id, "declared", F.regexp_extract(F.col(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1).alias("_host"), "_visible")
     rows = rows.withColumn("_host", F.nullif("_host", F.lit("")))
-    found = identify(rows, fit(labelled, "text", "lang"), F.col("_visible"), F.col("_host"), F.col("declared"))
+    found = identify(rows, fit(labelled, "text", "lang"), "_visible", F.col("_host"), F.col("declared"))
     return found.select(F.col("page_id").alias(page), "declared", "detected", "posterior")
 
 
 def keep_known(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The rows of ``docs`` that aren't rejected; ``lang`` is what they declare and ``source`` their host."""
     names = tuple(fresh(docs, "detected", "posterior"))
-    found = identify(docs, fit(docs, text, lang), F.col(f"`{text}`"), F.col(f"`{source}`"), F.col(f"`{lang}`"), names)
+    found = identify(docs, fit(docs, text, lang), text, F.col(f"`{source}`"), F.col(f"`{lang}`"), names)
     return found.where(F.col(names[0]) != UNKNOWN).drop(*names)

@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -48,6 +49,36 @@ def test_pages_without_their_markup():
     assert np.diff(rows[1]).tolist() == [0, 1, 0, 4, 1]
 
 
+def test_texts_are_scored_by_segments(monkeypatch):
+    model = langid.Model(["a", "b"], np.log(np.random.default_rng(1).dirichlet(np.ones(langid.BUCKETS), 2)).astype(np.float32))
+    texts = ["", "ab", "der die das, und \u00c0\u00e9 so", None, "x" * 40, "a b c", "the of and"]
+    whole = model.scores(pa.array(texts))
+    for size in (1, 3, 8, 11, 64):
+        monkeypatch.setattr(langid, "SEGMENT", size)
+        scores, n = model.scores(pa.array(texts).slice(1))
+        assert n.tolist() == whole[1][1:].tolist() and np.allclose(scores, whole[0][1:], rtol=1e-12)
+        counted = langid._counter(iter([pa.record_batch({"text": pa.array(texts), "lang": pa.array(range(7))})]))
+        assert sum(sum(b.column("n").to_pylist()) for b in counted) == n.sum()
+    monkeypatch.undo()
+    for texts in ([" einer von vielen"] * 250_000, [" einer von vielen" * 250_000]):
+        column = pa.array(texts)
+        tracemalloc.start()
+        model.scores(column)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 40e6, "a worker's memory follows its segments, not the batch or the text"
+
+
+def test_the_text_goes_to_workers_once(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.fit(docs, "text", "lang")
+    by_name = langid.identify(docs, model, "TEXT", F.col("source"), F.col("lang"))
+    by_column = langid.identify(docs, model, F.col("text"), F.col("source"), F.col("lang"))
+    sent = lambda df: df._jdf.queryExecution().optimizedPlan().children().head().output().mkString(",").split(",")
+    assert len(sent(by_name)) == len(docs.columns) + 2 and len(sent(by_column)) == len(docs.columns) + 3
+    assert sorted(map(tuple, by_name.collect())) == sorted(map(tuple, by_column.collect()))
+
+
 def brute_language(pages, docs):
     """declared, detected and posterior of each page by the definition, with the model too; all docs are sampled."""
     import collections
