@@ -169,3 +169,19 @@ def F_one():
     from pyspark.sql import functions as F
 
     return F.lit(1)
+
+
+def test_python_stages_get_small_batches(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for most, want in ((10000, 1000), (0, 1000), (70, 70)):
+            spark.conf.set(name, most)
+            corpus_pipeline.language_id(spark, docs, "/root/testdata/sf0.001")
+            assert int(spark.conf.get(name)) == want
+        spark.conf.set(name, 5000)
+        monkeypatch.setattr(corpus_pipeline, "STAGES", [("language_id", corpus_pipeline.language_id), ("end", lambda s, d, _: d)])
+        assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0 and spark.conf.get(name) == "5000"
+    finally:
+        spark.conf.set(name, before)
